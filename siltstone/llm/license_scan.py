@@ -21,9 +21,10 @@ Defined results: null text is empty (no words, no labels, score 0); empty
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,13 @@ def word_frequencies(docs: DataFrame, vocabulary: Sequence[str], text_col: str =
     return {w: counted.get(w, 0) for w in vocabulary}
 
 
+def _stands_at(tokens: Column, parts: list[str]) -> Callable[[Column], Column]:
+    def fits(i: Column) -> Column:
+        return functools.reduce(lambda a, b: a & b, [F.get(tokens, i + j) == F.lit(part) for j, part in enumerate(parts)])
+
+    return fits
+
+
 def phrase_places(tokens: Column, phrases: Mapping[str, str]) -> tuple[Column, dict[str, Column]]:
     """Start positions of all phrases, as one array, and whether each label's phrases occur."""
     joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
@@ -79,7 +87,7 @@ def phrase_places(tokens: Column, phrases: Mapping[str, str]) -> tuple[Column, d
     for phrase, here in has.items():
         parts = phrase.split(" ")
         starts = F.sequence(F.lit(0), F.size(tokens) - len(parts))
-        fits = F.filter(starts, lambda i, parts=parts: (F.get(tokens, i) == parts[0]) & F.forall(F.sequence(F.lit(1), F.lit(len(parts) - 1)), lambda j, i=i, parts=parts: F.get(tokens, i + j) == F.get(constant(parts), j)))
+        fits = F.filter(starts, _stands_at(tokens, parts))
         places = F.concat(places, F.when(here, fits).otherwise(F.array().cast("array<int>")))
     by_label = {}
     for phrase, label in phrases.items():

@@ -46,9 +46,9 @@ lines AS (SELECT n, list_distinct(list_filter({split % "line"}, lambda x: x <> '
           FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d)),
 hits AS (SELECT n, label, len(list_intersect(ls, t.ws)) / len(t.ws) AS c FROM lines, t
          WHERE len(list_intersect(ls, t.ws)) >= ceil({threshold} * len(t.ws) - 1e-9)),
-places AS (SELECT n, label, unnest(list_filter(range(len(d.ws)), lambda i: d.ws[i + 1 : i + len(b.ws)] = b.ws)) AS at
+places AS (SELECT n, label, unnest(list_filter(range(len(d.ws)), lambda i: d.ws[i + 1 : i + len(b.ws)] = b.ws)) AS pl
            FROM d, b),
-base AS (SELECT n, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word,
+base AS (SELECT n, count(*) AS n_base, min(pl) AS first_word, max(pl) AS last_word,
            string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY n),
 every AS (SELECT n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM
            (SELECT n, label FROM hits UNION SELECT n, label FROM places) GROUP BY n),
