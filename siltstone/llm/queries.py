@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, license_scan, mixing, oracles, simhash
+from siltstone.llm import fingerprints, license_scan, mixing, oracles, packing, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_paths() -> tuple[str, str]:
+    """The vocabulary that the contract names, as both libraries read it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), *tokenizer_paths())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -34,6 +46,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_license_scans": op6_license_scans,
         "op7_source_mixing": op7_source_mixing,
         "op10_simhash_golay": op10_simhash_golay,
