@@ -59,7 +59,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
 FROM d LEFT JOIN base USING (n) LEFT JOIN every USING (n) LEFT JOIN top USING (n)"""
 
 
+def warc_sql() -> str:
+    # base32 of a SHA-1: 5 hexadecimal digits are 4 characters of 5 bits
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digits = "0123456789abcdef"
+    chars = []
+    for group in range(8):
+        value = " + ".join(f"(strpos('{digits}', substr(h, {5 * group + i + 1}, 1)) - 1) * {16 ** (4 - i)}" for i in range(5))
+        chars += [f"substr('{letters}', ((({value}) >> {5 * (3 - j)}) & 31)::INTEGER + 1, 1)" for j in range(4)]
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {" || ".join(chars)} AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_warc_zip": warc_sql(),
     "op6_license_scans": license_sql(),
     "op7_source_mixing": mixing_sql(),
 }
