@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, license_scan, mixing, oracles, packing, simhash, warc_zip
+from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, simhash, warc_zip
+
+from siltstone.llm.common import held_out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +44,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    found = langid.score_table(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -54,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_license_scans": op6_license_scans,
         "op7_source_mixing": op7_source_mixing,
+        "op9_language_id": op9_language_id,
         "op10_simhash_golay": op10_simhash_golay,
     }
 
