@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, simhash, warc_zip
+from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, quality, simhash, warc_zip
 
 from siltstone.llm.common import held_out
 
@@ -44,6 +44,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = held_out(F.col("doc_id"), 4, 2)
+    scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~apart)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_license_scans": op6_license_scans,
         "op7_source_mixing": op7_source_mixing,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_language_id": op9_language_id,
         "op10_simhash_golay": op10_simhash_golay,
     }
