@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, quality, simhash, warc_zip
+from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, quality, simhash, toxicity, warc_zip
 
 from siltstone.llm.common import held_out
 
@@ -20,6 +20,12 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~apart)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_zip": op1_warc_zip,
+        "op2_toxicity": op2_toxicity,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_license_scans": op6_license_scans,
