@@ -75,8 +75,20 @@ SELECT page_id, payload_bytes, {" || ".join(chars)} AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
 
+def knn_sql(k: int = 20, scale: int = 64) -> str:
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score
+      FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_zip": warc_sql(),
+    "op3_voronoi_knn": knn_sql(),
     "op6_license_scans": license_sql(),
     "op7_source_mixing": mixing_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, quality, simhash, toxicity, warc_zip
+from siltstone.llm import fingerprints, langid, license_scan, mixing, oracles, packing, quality, simhash, toxicity, voronoi_knn, warc_zip
 
 from siltstone.llm.common import held_out
 
@@ -26,6 +26,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi_knn.integer_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return voronoi_knn.top_k(vectors, F.col("id") % 20 == 0, 20)
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_zip": op1_warc_zip,
         "op2_toxicity": op2_toxicity,
+        "op3_voronoi_knn": op3_voronoi_knn,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_license_scans": op6_license_scans,
