@@ -60,51 +60,64 @@ def source_targets(sources: DataFrame, weights: Sequence[int], max_repeat: int)
     return ranked.select("source", "source_size", "target")
 
 
-def mix_sources(sized: DataFrame, *, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, seed: int = 7, rows_per_range: int = 256, most_ranges: int = 65536) -> DataFrame:
+def _keyed(sized: DataFrame, seed: int, carry: Sequence[str]) -> DataFrame:
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    return sized.select("doc_id", "source", "size", key.alias("_key"), *(c for c in carry if c not in ("doc_id", "source", "size")))
+
+
+def mix_sources(sized: DataFrame, *, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, seed: int = 7, rows_per_range: int = 256, most_ranges: int = 65536, carry: Sequence[str] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
-    ``sized`` has doc_id, source and size; the result adds source_size, target
-    and taken.  Reruns agree: keys are hashes of seed and id.
+    ``sized`` has doc_id, source, size and the columns to carry along; the
+    result adds source_size, target and taken.  Reruns agree: keys are hashes
+    of seed and id.
     """
-    keyed = sized.select("doc_id", "source", "size", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("_key"))
-    keyed = materialize(keyed, "mix-keys")  # narrow rows; the texts are read and counted once
-    ranges = spread(keyed.count(), rows_per_range, most_ranges)
+    narrow = materialize(_keyed(sized, seed, ()), "mix-keys")
+    ranges = spread(narrow.count(), rows_per_range, most_ranges)
     leading = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    keyed = keyed.withColumn("_range", F.floor(leading * ranges / F.lit(2.0**32)).cast("int"))
+    at = F.floor(leading * ranges / F.lit(2.0**32)).cast("int")
     same_source = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    keyed = keyed.withColumn("_s", same_source)
+    narrow = narrow.withColumn("_range", at).withColumn("_s", same_source)
 
-    totals = materialize(keyed.groupBy("_s", "source", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
+    totals = materialize(narrow.groupBy("_s", "source", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
     targets = source_targets(totals.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_repeat)
     earlier = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_s", "_range", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset"))
     offsets = offsets.join(targets.select(same_source.alias("_s"), "source_size", "target"), "_s")
 
+    rows = _keyed(sized, seed, carry).withColumn("_range", at).withColumn("_s", same_source) if carry else narrow
     inside = Window.partitionBy("_s", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumn("_end", F.sum("size").over(inside)).join(offsets, ["_s", "_range"])
+    placed = rows.withColumn("_end", F.sum("size").over(inside)).join(offsets, ["_s", "_range"])
     start = F.col("_offset") + F.col("_end") - F.col("size")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    carried = [c for c in carry if c not in ("doc_id", "source", "size")]
+    return placed.select("doc_id", "source", "size", *carried, "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, carry: Sequence[str] = (), **options) -> DataFrame:
     """:func:`mix_sources` over a table with doc_id, text and source."""
-    return mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options)
+    extra = [c for c in carry if c not in ("doc_id", "source")]
+    return mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra), carry=extra, **options)
 
 
-def epoch_slices(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mixed corpus itself: each document's text once per whole epoch and
-    a leading slice of its words for the epoch that the budget cuts.
+def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus itself, with the input's columns: each document once per
+    whole epoch, and a leading slice of its words where the budget cuts it.
 
-    ``taken`` is :func:`mix_sources`' result over unique doc_ids.
+    Documents of no words take no part; ``n_chars``, if there, follows a cut.
     """
+    mixed = mix_documents(docs.select(*[F.col(c) for c in docs.columns]).drop("size", "target", "taken", "source_size"), carry=[c for c in docs.columns if c not in ("size", "target", "taken", "source_size")], **options)
     size = F.col("size")
-    whole = F.when(size > 0, F.floor(F.col("taken") / size)).otherwise(0).cast("int")
+    whole = F.floor(F.col("taken") / size).cast("int")
     part = F.col("taken") - whole * size
-    plan = taken.where("taken > 0").select("doc_id", F.explode(F.concat(F.array_repeat(size, whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_words"))
+    epochs = F.concat(F.array_repeat(size, whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    mixed = mixed.where("taken > 0").withColumn("_words", F.explode(epochs))
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    cut = F.when(F.col("_words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    return docs.join(plan, "doc_id").withColumn("text", cut).drop("_words")
+    cut = F.col("_words") < size
+    mixed = mixed.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return mixed.select(*[c for c in docs.columns if c in mixed.columns])

@@ -20,6 +20,8 @@ but never names a component, unless all ids of the component are null.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -141,26 +143,39 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(distinct: DataFrame, probe: bool) -> DataFrame:
+    """(key, fp, node); a table number in the key's upper bits keeps tables apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            fp, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            base = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) << 36
             homes, probes, rows = fuzzy_keys(fp.view(np.uint64))
-            keys, out = (probes, fp[rows]) if probe else (homes.reshape(-1), np.repeat(fp, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], names=["key", "fp"])
+            if not probe:
+                probes, rows = homes.reshape(-1), np.repeat(np.arange(len(fp)), 3)
+            yield pa.RecordBatch.from_arrays([pa.array(probes | base[rows]), pa.array(fp[rows]), node.take(pa.array(rows))], names=["key", "fp", "node"])
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long")
+    kind = distinct.schema["node"].dataType.simpleString()
+    return distinct.select("fp", "node", "table").mapInArrow(run, f"key long, fp long, node {kind}")
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints that differ in at most ``radius`` (0 to 2) bits."""
+def class_links(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a < b) of nodes whose fingerprints of the same table differ in 1 to ``radius`` bits.
+
+    classes: (table, fp, node), one row per table and distinct fingerprint.
+    """
     if not 0 <= radius <= 2:
         raise ValueError("the segments are laid out for at most two differing bits")
-    home = _keyed(distinct, False).select("key", F.col("fp").alias("a"))
-    probe = _keyed(distinct, True).select("key", F.col("fp").alias("b"))
-    near = (home.key == probe.key) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    home = _keyed(classes, False).select("key", F.col("fp").alias("x"), F.col("node").alias("a"))
+    probe = _keyed(classes, True).select("key", F.col("fp").alias("y"), F.col("node").alias("b"))
+    near = (home.key == probe.key) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius) & (F.col("a") != F.col("b"))
     return home.join(probe, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a < b) of distinct fingerprints that differ in at most ``radius`` (0 to 2) bits."""
+    return class_links(distinct.select("fp", F.col("fp").alias("node"), F.lit(0).alias("table")), radius)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links."""
     printed = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
@@ -172,3 +187,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written tables on both sides: the copies of a very common fingerprint can be split in the join
     members = materialize(named.join(first, "root").select("fp", "component"), "simhash-members")
     return printed.join(members, "fp").select("id", "fp", "component")
+
+
+TABLES = 6
+
+
+def word_fingerprints(words: list[bytes], tables: int = TABLES) -> list[int]:
+    """Independent 64-bit SimHashes over words weighted by how often they occur."""
+    counts = Counter(words)
+    raw = b"".join(xxhash.xxh3_128_digest(w, seed) for w in counts for seed in range((tables + 1) // 2))
+    if not raw:
+        return [0] * tables
+    rows = np.frombuffer(raw, dtype=np.uint8).reshape(len(counts), -1)
+    weights = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+    sums = np.zeros(rows.shape[1] * 8, dtype=np.float64)
+    for at in range(0, len(rows), 1 << 14):  # bounded memory for any text
+        sums += weights[at : at + (1 << 14)] @ np.unpackbits(rows[at : at + (1 << 14)], axis=1).astype(np.float32)
+    packed = np.packbits(2 * sums > weights.sum(dtype=np.float64)).view(">u8").astype(np.uint64).view(np.int64)
+    return packed[:tables].tolist()
+
+
+def described(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    """(id, same, fps, shingles): the normalised text's digest, SimHashes, and distinct 32-bit shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                same, fps, sets = [], [], []
+                for text in part.column(1).to_pylist():
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    words = raw.lower().split()
+                    same.append(hashlib.md5(b" ".join(words)).digest())
+                    fps.append(word_fingerprints(words, tables))
+                    hashes = np.array([xxhash.xxh32_intdigest(s) for s in shingles(raw, width)], dtype=np.uint32)
+                    sets.append(np.unique(hashes).view(np.int32))
+                offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), lists], names=["id", "same", "fps", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>, shingles array<int>")
+
+
+def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """(id, component): near duplicates by shingle-set likeness, candidates by SimHash.
+
+    Two documents are near duplicates if their sets of ``width``-word shingles
+    have a Jaccard likeness of at least ``threshold``.  Candidates are found by
+    several word-frequency SimHashes and Golay keys: members of a fingerprint
+    class are compared with its smallest id, classes by their smallest ids.
+    Equal normalised texts are one class from the start.  Rows with a null id
+    take no part.
+    """
+    table = materialize(described(docs.where(F.col("doc_id").isNotNull()), width, tables), "near-described")
+    copies = materialize(table.groupBy("same").agg(F.min("id").alias("first")), "near-copies")
+    own = materialize(table.join(copies, "same").select("id", "first"), "near-own")
+    singles = table.join(own.where("id = first").select("id").distinct(), "id", "left_semi").select("id", F.posexplode("fps").alias("table", "fp")).distinct()
+    singles = materialize(singles, "near-prints")
+    classes = materialize(singles.groupBy("table", "fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "near-classes")
+    within = singles.join(classes.where("n > 1"), ["table", "fp"]).where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(within.unionAll(class_links(classes, radius)).distinct(), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(table.select("id", "shingles").join(nodes, "id", "left_semi").dropDuplicates(["id"]), "near-sets")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where((F.col("u") == 0) | (F.col("c") >= threshold * F.col("u")))
+    roots = components.connected(alike.select("a", "b"))
+    named = materialize(own.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("component")), "near-named")
+    return named
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """Documents without near duplicates of a smaller id; rows with a null id stay."""
+    found = verified_near_duplicates(docs, **options)
+    removed = materialize(found.where("component != id").select("id").distinct(), "near-removed")
+    kept = docs.join(removed, docs["doc_id"].cast("long") == removed["id"], "left_anti")
+    repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
