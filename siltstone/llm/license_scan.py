@@ -45,7 +45,6 @@ TEMPLATES: Sequence[tuple[str, str]] = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )

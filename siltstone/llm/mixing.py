@@ -109,15 +109,19 @@ def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
 
     Documents of no words take no part; ``n_chars``, if there, follows a cut.
     """
-    mixed = mix_documents(docs.select(*[F.col(c) for c in docs.columns]).drop("size", "target", "taken", "source_size"), carry=[c for c in docs.columns if c not in ("size", "target", "taken", "source_size")], **options)
+    row = F.struct(*docs.columns).alias("_row")  # keeps columns apart that have the names used here
+    mixed = mix_documents(docs.select("doc_id", "text", "source", row), carry=["_row"], **options)
     size = F.col("size")
     whole = F.floor(F.col("taken") / size).cast("int")
     part = F.col("taken") - whole * size
     epochs = F.concat(F.array_repeat(size, whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     mixed = mixed.where("taken > 0").withColumn("_words", F.explode(epochs))
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    text = F.col("_row.text")
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     cut = F.col("_words") < size
-    mixed = mixed.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return mixed.select(*[c for c in docs.columns if c in mixed.columns])
+    mixed = mixed.withColumn("_text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(text))
+    kept = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    kept["text"] = F.col("_text")
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(kept["n_chars"])
+    return mixed.select(*[column.alias(name) for name, column in kept.items()])
