@@ -25,7 +25,7 @@ HAS_MONEY = r"\$[0-9]"
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null where nothing matches."""
-    return F.when(text.rlike(pattern), F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def trimmed(text: Column) -> Column:
@@ -153,7 +153,7 @@ def any_of(conditions: Sequence[Column]) -> Column:
 def cost_tail_cut(name: Column) -> Column:
     """A name without the quantities and prices behind it, if two characters or more are left."""
     cut = name
-    for pattern in (r"\s+[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:ft|feet|ac|acres?|each|ea|lbs|tons?)\b.*$", r"\s*@\s*\$.*$", r"\s+\$[0-9].*$"):
+    for pattern in (r"\s+[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:ac|acres?|ft|feet|ea|es|lf|yds?|cy|cuyd|sq\.?ft)\b.*$", r"\s*@\s*\$.*$", r"\s+\$[0-9].*$"):
         cut = F.regexp_replace(cut, "(?i)" + pattern, "")
     cut = F.regexp_replace(F.trim(cut), r"[,:;\s]+$", "")
     return F.when(F.length(cut) >= 2, cut).otherwise(name)

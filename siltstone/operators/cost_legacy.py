@@ -142,8 +142,8 @@ def loose_clusters(lined: DataFrame, *, least_rows: int = 3, least_sum: float =
     runs = lined.select("doc_id", "lines", F.explode(F.filter(money_runs(F.col("lines")), lambda r: r["n"] >= 3)).alias("r")).select("doc_id", "lines", "r.*")
     runs = runs.withColumn("_own", F.slice("lines", F.col("start") + 1, F.least(F.lit(40), F.col("n"))))
     tabbed = F.exists("_own", lambda x: x.contains("\t"))
-    split = lambda x: F.filter(F.transform(F.split(x, r"\t+"), F.trim), lambda c: c != "")
-    spaced = lambda x: F.filter(F.transform(F.split(x, " {2,}"), F.trim), lambda c: c != "")
+    split = lambda x: F.filter(F.transform(F.split(x, r"\t+"), lambda c: F.trim(c)), lambda c: c != "")
+    spaced = lambda x: F.filter(F.transform(F.split(x, " {2,}"), lambda c: F.trim(c)), lambda c: c != "")
 
     def row(line: Column) -> Column:
         cells = F.when(F.col("_tab"), split(line)).otherwise(spaced(line))

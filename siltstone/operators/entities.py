@@ -302,7 +302,7 @@ def listed_practices(raw: Column) -> Column:
     anchor = r"(?i)(These\s+BMPs\s+include[^\n]*:|These\s+BMPs\s+will[^\n]*:|The\s+BMPs\s+include[^\n]*:)"
     at = F.regexp_instr(raw, F.lit(anchor))
     start = at + F.length(F.regexp_extract(raw, anchor, 1))
-    lines = F.filter(F.transform(F.split(F.substring(raw, start, F.lit(1200)), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.substring(raw, start, F.lit(1200)), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
 
     def step(a: Column, line: Column) -> Column:

@@ -162,7 +162,7 @@ def sentences(text: Column) -> Column:
 
 def clauses(line: Column) -> Column:
     """Parts between semicolons, if there are several."""
-    parts = F.filter(F.transform(F.split(line, ";+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(line, ";+"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 1, parts).otherwise(F.array(line))
 
 
