@@ -177,3 +177,40 @@ def search_hit(haystack: Column, query: str) -> Column:
     """Every white-space token of the query is in the text, case aside."""
     low = F.lower(haystack)
     return reduce(lambda a, b: a & b, [low.contains(t) for t in query.lower().split()] or [F.lit(True)])
+
+
+#: Phrases with which a goal starts.
+GOAL_STARTS = r"(?i)(ultimate goal|overall goal|primary objective|primary goal|main goal|the goal is|our goal is|the objective is|our objective is|mission is to)"
+
+
+def from_starter(description: Column, within: int = 160) -> Column:
+    """A description cut to its first starting phrase, if none stands in its first characters; a leading ``as`` goes."""
+    at = F.regexp_instr(description, F.lit(GOAL_STARTS))
+    cut = F.when((at > within), F.substring(description, at, F.length(description))).otherwise(description)
+    return F.regexp_replace(cut, r"(?i)^as[,\s]+", "")
+
+
+def descriptor(text: Column) -> Column:
+    """measure, unit, rate, quantity and parse confidence of a row's descriptor, by three tiers of strictness."""
+    high = r"(?i)^([0-9][0-9,]*(?:\.[0-9]+)?)\s*([A-Za-z_]+)\s*@\s*\$([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*/\s*[A-Za-z]+)?$"
+    medium = r"(?i)^([0-9][0-9,]*(?:\.[0-9]+)?)\s*([A-Za-z_]+)\b"
+    low = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+    tier = F.when(text.rlike(high), "high").when(text.rlike(medium), "medium").when(text.rlike(low), "low").otherwise("none")
+    return F.struct(
+        F.coalesce(number(extract(text, high, 1)), number(extract(text, medium, 1)), number(extract(text, low, 1))).alias("quantity"),
+        F.coalesce(extract(text, high, 2), extract(text, medium, 2)).alias("unit"), number(extract(text, high, 3)).alias("rate"), tier.alias("confidence"),
+        F.array_compact(F.array(F.when(tier != "high", F.lit("no-rate")), F.when(tier.isin("low", "none"), F.lit("no-unit")), F.when(tier == "none", F.lit("no-quantity")))).alias("issues"),
+    )
+
+
+def cost_field(row: Column, priority: Sequence[str] = ("Total Cost", "Estimated Cost", "BMP Total", "Total", "Cost", "Amount")) -> Column:
+    """The amount of a row given as map<string, string>: the first priority key that is there, else any cost-like key."""
+    costly = F.map_filter(row, lambda k, v: k.rlike(r"(?i)cost|total|amount|price|budget") & v.rlike("[0-9]"))
+    return F.coalesce(*[money(costly[p]) for p in priority], money(F.get(F.map_values(costly), F.lit(0))))
+
+
+def metric(text: Column) -> Column:
+    """value, unit and label of a metric's text: first number, first known unit, the rest normalised."""
+    units = r"(?i)(mg/l|acres?|feet|ft|tons?|lbs|pounds|percent|%)"
+    rest = F.regexp_replace(F.regexp_replace(text, r"[0-9][0-9,]*(?:\.[0-9]+)?", " "), units, " ")
+    return F.struct(number(extract(text, r"([0-9][0-9,]*(?:\.[0-9]+)?)")).alias("value"), F.lower(extract(text, units)).alias("unit"), comparable(rest).alias("label"))

@@ -265,3 +265,27 @@ def layer_coverage(base: DataFrame, layers: dict[str, DataFrame], key: str) -> D
     return agg.select("base", F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("n")) for x in layers])).alias("l")).select(
         "l.layer", "l.n", "base", F.round(100.0 * F.col("l.n") / F.col("base"), 1).alias("pct"), (F.col("base") - F.col("l.n")).alias("missing")
     )
+
+
+def newest_sessions(rows: DataFrame, key: str, time: str, tie: str, most: int = 12) -> DataFrame:
+    """The latest ``most`` rows of each key."""
+    w = Window.partitionBy(key).orderBy(F.col(time).desc(), F.col(tie))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def collapsed_rows(rows: DataFrame, keys: Sequence[str], cost: str) -> DataFrame:
+    """Rows of equal keys as one, with the sum of their distinct rounded costs."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum_distinct(F.round(cost, 0)).alias("cost"))
+
+
+def scan_scores(lines: DataFrame, doc: str, line: str, k: int = 25) -> DataFrame:
+    """Documents by a weighted count of cost headings (5), amounts (2) and practice cues (1), highest first."""
+    head, amount, cue = F.col(line).rlike(r"(?i)cost|budget"), F.col(line).rlike(r"\$[0-9]"), F.col(line).rlike(r"(?i)bmp|practice|activity")
+    agg = lines.groupBy(doc).agg(count_if(head).alias("heads"), count_if(amount).alias("amounts"), count_if(cue).alias("cues"))
+    return top_k(agg.withColumn("score", F.col("heads") * 5 + F.col("amounts") * 2 + F.col("cues")), [F.col("score").desc(), F.col(doc)], k)
+
+
+def multipart_anomalies(parts: DataFrame, base: str, size: str, ratio: float = 25, least: int = 200) -> DataFrame:
+    """Bases whose parts differ too much in size, or have one that is too small."""
+    agg = parts.groupBy(base).agg(F.count("*").alias("parts"), F.min(size).alias("smallest"), F.max(size).alias("largest"))
+    return agg.where((F.col("parts") > 1) & ((F.col("largest") > ratio * F.col("smallest")) | (F.col("smallest") < least)))

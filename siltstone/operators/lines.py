@@ -171,3 +171,15 @@ def complete_lines(section: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     known = section.select(key, "line").distinct()
     extra = raw.join(known, [key, "line"], "left_anti")
     return section.select(key, "line", F.lit(0).alias("source"), "pos").unionByName(extra.select(key, "line", F.lit(1).alias("source"), "pos"))
+
+
+def narrative_blocks(docs: DataFrame, id_col: str, text_col: str, *, goal_cap: int = 25, least: int = 4) -> DataFrame:
+    """The rebuild sectioniser: goal lines and cost lines, and the lines of longer runs of amounts that these lack."""
+    found = cue_sections(docs, id_col, text_col, goal_cap=goal_cap, uncategorized=False)
+    lines = explode_lines(docs, id_col, text_col).withColumn("line", trimmed(F.col("line")))
+    w = Window.partitionBy(id_col).orderBy("pos")
+    money = F.col("line").rlike(HAS_MONEY)
+    run = lines.withColumn("_m", money).withColumn("_g", F.sum((~money).cast("int")).over(w)).where("_m")
+    long = run.withColumn("_n", F.count("*").over(Window.partitionBy(id_col, "_g"))).where(F.col("_n") >= least)
+    extra = long.join(found.where("section = 'BMPs'").select(id_col, "line").distinct(), [id_col, "line"], "left_anti")
+    return found.select(id_col, "pos", "line", "section").unionByName(extra.select(id_col, "pos", "line", F.lit("BMPs").alias("section")))
