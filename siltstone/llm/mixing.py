@@ -76,7 +76,7 @@ def mix_sources(sized: DataFrame, *, weights: Sequence[int] = (5, 2, 1), max_rep
     ranges = spread(narrow.count(), rows_per_range, most_ranges)
     leading = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     at = F.floor(leading * ranges / F.lit(2.0**32)).cast("int")
-    same_source = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
+    same_source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null, and no source's own name
     narrow = narrow.withColumn("_range", at).withColumn("_s", same_source)
 
     totals = materialize(narrow.groupBy("_s", "source", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
@@ -87,7 +87,8 @@ def mix_sources(sized: DataFrame, *, weights: Sequence[int] = (5, 2, 1), max_rep
 
     rows = _keyed(sized, seed, carry).withColumn("_range", at).withColumn("_s", same_source) if carry else narrow
     inside = Window.partitionBy("_s", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("_end", F.sum("size").over(inside)).join(offsets, ["_s", "_range"])
+    # joined before the window, which then needs no exchange of its own
+    placed = rows.join(offsets, ["_s", "_range"]).withColumn("_end", F.sum("size").over(inside))
     start = F.col("_offset") + F.col("_end") - F.col("size")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
