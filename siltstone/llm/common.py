@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_scratch: list[list[tuple[SparkSession, str]]] = []
 _local_fallback: list[str] = []
 
 
@@ -33,10 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_scratch[-1] if _scratch else _written).append((spark, path))
     return path
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Paths made inside are removed at its end: for steps whose result is written elsewhere before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.pop():
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, label: str, *, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -82,3 +96,12 @@ def spread(total: int, per_bucket: int, most: int) -> int:
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id, as decimal text, leaves that remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` documents for Python functions over whole
+    texts: with Spark's default of 10,000, long texts would make them large.  A
+    session that sets its own number keeps it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize
+from siltstone.llm.common import materialize, small_batches
 
 FEATURES = 192
 FOLDS = 3
@@ -86,6 +86,7 @@ def statistics_table(docs: DataFrame, keep: list[str]) -> DataFrame:
             rows = [np.array(statistics(t), dtype="<f4").tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*keep, "stats"])
 
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, stats binary")
 
@@ -261,7 +262,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, keep: li
     """
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
-    described = materialize(statistics_table(docs, keep), "quality-statistics")
+    described = materialize(statistics_table(docs, ["doc_id"]), "quality-statistics")
     fold = F.pmod(F.xxhash64(F.lit("quality fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     rows = described.select("doc_id", "stats").where(learn).join(labels_by_id(labels, "quality"), "doc_id").select("stats", "label", fold)
     model = train(materialize(rows, "quality-rows"))
@@ -272,5 +273,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, keep: li
             score = shared.value.probability(_matrix(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*keep, "score"])
 
-    schema = ", ".join(f"`{n}` {described.schema[n].dataType.simpleString()}" for n in keep)
-    return described.mapInArrow(run, f"{schema}, score double")
+    # further columns, such as texts, are not written along: their rows are described once more
+    rows = described if keep == ["doc_id"] else statistics_table(docs, keep)
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
+    return rows.mapInArrow(run, f"{schema}, score double")
