@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, spread
+from siltstone.llm.common import materialize, small_batches, spread
 
 CAPACITY = 2048
 
@@ -103,6 +103,7 @@ def tokenize(docs: DataFrame, path: str, ranks_path: str | None = None, *, capac
                     columns, names = [*columns, pa.array(out[5], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

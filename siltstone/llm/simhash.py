@@ -28,11 +28,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import components
-from siltstone.llm.common import materialize
+from siltstone.llm.common import delete_path, materialize, new_path, scratch, small_batches
 
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -118,6 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = fingerprint_texts(texts, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fp long")
 
@@ -142,38 +143,38 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(homes, axis=1), np.concatenate(probes), np.concatenate(rows)
 
 
-def _keyed(distinct: DataFrame, probe: bool) -> DataFrame:
-    """(key, fp, node); a table number in the key's upper bits keeps tables apart."""
+def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
+    """(key, fp); a table number in the key's upper bits keeps tables apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            base = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) << 36
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            base = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << 36
             homes, probes, rows = fuzzy_keys(fp.view(np.uint64))
             if not probe:
                 probes, rows = homes.reshape(-1), np.repeat(np.arange(len(fp)), 3)
-            yield pa.RecordBatch.from_arrays([pa.array(probes | base[rows]), pa.array(fp[rows]), node.take(pa.array(rows))], names=["key", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(probes | base[rows]), pa.array(fp[rows])], names=["key", "fp"])
 
-    kind = distinct.schema["node"].dataType.simpleString()
-    return distinct.select("fp", "node", "table").mapInArrow(run, f"key long, fp long, node {kind}")
+    return classes.select("fp", "table").mapInArrow(run, "key long, fp long")
 
 
 def class_links(classes: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a < b) of nodes whose fingerprints of the same table differ in 1 to ``radius`` bits.
+    """(table, a, b), a < b: fingerprints of one table that differ in 1 to ``radius`` bits.
 
-    classes: (table, fp, node), one row per table and distinct fingerprint.
+    classes: (table, fp), one row per table and distinct fingerprint.
     """
     if not 0 <= radius <= 2:
         raise ValueError("the segments are laid out for at most two differing bits")
-    home = _keyed(classes, False).select("key", F.col("fp").alias("x"), F.col("node").alias("a"))
-    probe = _keyed(classes, True).select("key", F.col("fp").alias("y"), F.col("node").alias("b"))
-    near = (home.key == probe.key) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius) & (F.col("a") != F.col("b"))
-    return home.join(probe, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    home = _keyed(classes, False).select("key", F.col("fp").alias("a"))
+    probe = _keyed(classes, True).select("key", F.col("fp").alias("b"))
+    near = (home.key == probe.key) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    found = home.join(probe, near).select(F.shiftright(home.key, 36).cast("int").alias("table"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.distinct()
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints that differ in at most ``radius`` (0 to 2) bits."""
-    return class_links(distinct.select("fp", F.col("fp").alias("node"), F.lit(0).alias("table")), radius)
+    return class_links(distinct.select("fp", F.lit(0).alias("table")), radius).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
@@ -189,12 +190,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(members, "fp").select("id", "fp", "component")
 
 
-TABLES = 6
+TABLES = 10
 
 
 def word_fingerprints(words: list[bytes], tables: int = TABLES) -> list[int]:
-    """Independent 64-bit SimHashes over words weighted by how often they occur."""
+    """Independent 64-bit SimHashes over words, weighted by how often they occur and by length over three bytes.
+
+    Short words are the common ones of most languages; without them, texts that
+    only share a language are far apart.  Texts of short words alone count them all.
+    """
     counts = Counter(words)
+    long = {w: n * (len(w) - 3) for w, n in counts.items() if len(w) > 3}
+    counts = long or counts
     raw = b"".join(xxhash.xxh3_128_digest(w, seed) for w in counts for seed in range((tables + 1) // 2))
     if not raw:
         return [0] * tables
@@ -221,11 +228,12 @@ def described(docs: DataFrame, width: int, tables: int) -> DataFrame:
                     same.append(hashlib.md5(b" ".join(words)).digest())
                     fps.append(word_fingerprints(words, tables))
                     hashes = np.array([xxhash.xxh32_intdigest(s) for s in shingles(raw, width)], dtype=np.uint32)
-                    sets.append(np.unique(hashes).view(np.int32))
+                    sets.append(np.unique(hashes.view(np.int32)))
                 offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), lists], names=["id", "same", "fps", "shingles"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>, shingles array<int>")
 
 
@@ -239,28 +247,65 @@ def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: floa
     Equal normalised texts are one class from the start.  Rows with a null id
     take no part.
     """
-    table = materialize(described(docs.where(F.col("doc_id").isNotNull()), width, tables), "near-described")
+    spark, whole = docs.sparkSession, new_path(docs.sparkSession, "near-described")
+    described(docs.where(F.col("doc_id").isNotNull()), width, tables).write.option("compression", "zstd").parquet(whole)
+    table = spark.read.parquet(whole)
     copies = materialize(table.groupBy("same").agg(F.min("id").alias("first")), "near-copies")
-    own = materialize(table.join(copies, "same").select("id", "first"), "near-own")
-    singles = table.join(own.where("id = first").select("id").distinct(), "id", "left_semi").select("id", F.posexplode("fps").alias("table", "fp")).distinct()
+    own = materialize(table.select("id", "same").join(copies, "same").select("id", "first"), "near-own")
+    singles = table.select("id", "fps").join(own.where("id = first").select("id").distinct(), "id", "left_semi").select("id", F.posexplode("fps").alias("table", "fp"))
     singles = materialize(singles, "near-prints")
     classes = materialize(singles.groupBy("table", "fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "near-classes")
-    within = singles.join(classes.where("n > 1"), ["table", "fp"]).where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(within.unionAll(class_links(classes, radius)).distinct(), "near-pairs")
+    within = singles.join(classes.where("n > 1"), ["table", "fp"]).where("id != node").select(F.col("node").alias("x"), F.col("id").alias("y"))
+    met = materialize(class_links(classes.select("table", "fp"), radius), "near-links")
+    named = classes.select("table", "fp", "node")
+    met = met.join(named.select("table", F.col("fp").alias("a"), F.col("node").alias("x")), ["table", "a"]).join(named.select("table", F.col("fp").alias("b"), F.col("node").alias("y")), ["table", "b"])
+    pairs = within.unionAll(met.select("x", "y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = materialize(pairs.distinct(), "near-pairs")
     nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     sets = materialize(table.select("id", "shingles").join(nodes, "id", "left_semi").dropDuplicates(["id"]), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    delete_path(spark, whole)  # the largest of the tables; nothing reads it from here on
+    # a link inside a component that is already known tells nothing: verify each node's smallest
+    # candidate first, then only pairs between the components that this leaves
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = materialize(_alike(first, sets, threshold), "near-first")
+    roots = components.connected(first)
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = _alike(materialize(_likely(rest, sets, threshold), "near-likely"), sets, threshold)
+    roots = components.connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(rest))
+    return materialize(own.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("component")), "near-named")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, column: Column) -> DataFrame:
+    """pairs (a, b) with x and y: the column of their rows in sets."""
+    return pairs.join(sets.select(F.col("id").alias("b"), column.alias("y")), "b").join(sets.select(F.col("id").alias("a"), column.alias("x")), "a")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets have at least that Jaccard likeness."""
     common = F.size(F.array_intersect("x", "y"))
-    alike = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where((F.col("u") == 0) | (F.col("c") >= threshold * F.col("u")))
-    roots = components.connected(alike.select("a", "b"))
-    named = materialize(own.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("component")), "near-named")
-    return named
+    counted = _with_sets(pairs, sets, F.col("shingles")).select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    return counted.where((F.col("u") == 0) | (F.col("c") >= threshold * F.col("u"))).select("a", "b")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, threshold: float, k: int = 64) -> DataFrame:
+    """Without pairs whose bottom-k sketches put them more than 3.6 standard errors below the threshold."""
+    least = threshold - 3.6 * (threshold * (1 - threshold) / k) ** 0.5
+    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, k)
+    both = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
+    met = _with_sets(pairs, sets, F.slice("shingles", 1, k)).select("a", "b", both.alias("c"), F.size(union).alias("u"))
+    return met.where((F.col("u") == 0) | (F.col("c") >= least * F.col("u"))).select("a", "b")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Documents without near duplicates of a smaller id; rows with a null id stay."""
-    found = verified_near_duplicates(docs, **options)
-    removed = materialize(found.where("component != id").select("id").distinct(), "near-removed")
-    kept = docs.join(removed, docs["doc_id"].cast("long") == removed["id"], "left_anti")
-    repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    spark = docs.sparkSession
+    gone = new_path(spark, "near-removed")
+    with scratch():
+        found = verified_near_duplicates(docs, **options)
+        found.where("component != id").select("id").distinct().write.parquet(gone)
+        repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    removed = spark.read.schema("id long").parquet(gone)
+    # merged at any size: the ids grow with the corpus, so they are never broadcast
+    kept = docs.join(removed.hint("merge"), docs["doc_id"].cast("long") == removed["id"], "left_anti")
     return kept.dropDuplicates(["doc_id"]) if repeated else kept

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, new_path
+from siltstone.llm.common import materialize, new_path, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 16 << 20
@@ -267,6 +267,7 @@ def write_archives(rows: DataFrame, folder: str, limit: int = ARCHIVE_BYTES, zip
                 yield from listed(writer.add(page_id, record(page_id, url, payload, name, first if revisit else None, revisit)))
         yield from listed(writer.close())
 
+    small_batches(rows.sparkSession)
     return materialize(rows.select("page_id", "url", "payload", "digest", "first").mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
 
 
