@@ -500,7 +500,7 @@ def test_components(spark):
 
 def test_verified_near_duplicates(spark):
     rng = random.Random(13)
-    vocabulary = [f"w{i}" for i in range(500)]
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.choice([2, 3, 5, 6, 7, 8, 9]))) for _ in range(500)]
     texts = list(ODD_TEXTS)
     for _ in range(10):
         base = rng.choices(vocabulary, k=200)
@@ -508,7 +508,7 @@ def test_verified_near_duplicates(spark):
         for edits in (0, 1, 2, 3):
             words = list(base)
             for at in rng.sample(range(200), edits):
-                words[at] = "changed"
+                words[at] = rng.choice(vocabulary)
             texts.append(" ".join(words).upper())
         texts.append(" ".join(rng.choices(vocabulary, k=200)))
     docs = docs_of(spark, texts)
