@@ -1,8 +1,9 @@
 """From documents to reports: every entity table of a corpus, the report summary, and the service calls on them.
 
-``Corpus`` holds one DataFrame per entity.  All of them read one line table,
-one row per document, which callers of more than one entity should persist or
-write.  Nothing here starts a job.
+``Corpus`` holds one DataFrame per entity.  Section lines are made once and
+written to the shared folder, and so are the lines of documents that have an
+amount at all: the many patterns of cost tables then scan that small table
+instead of sectioning the corpus again each.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from siltstone.operators import cost_legacy as cl
 from siltstone.operators import entities as en
 from siltstone.operators import lines as ln
 from siltstone.operators.paragraphs import reconstruct
+from siltstone.sources.shared import written
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -66,9 +68,11 @@ def process(documents: DataFrame, *, noise_filter: bool = True, refine_categorie
     if classifier:
         sections = classifier(sections)
     raw = ce.document_lines(documents)
+    sections = written(sections, "sections")
     ordered = augmented(section_text(sections), raw)
+    ordered = written(ordered.where(F.exists("lines", lambda x: x.contains("$"))), "money-lines")
 
-    tables = ce.cost_tables(ordered)
+    tables = written(ce.cost_tables(ordered), "cost-tables")
     tables = ce.merge_coded_budgets(tables)
     tables = tables.unionByName(cl.legacy_tables(ordered, tables), allowMissingColumns=True)
     if non_overlapping:

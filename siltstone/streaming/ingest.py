@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where a local master has none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return f"{known.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
+from siltstone.sources.shared import shared_path
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, process: Callable[[DataFrame, int], None], checkpoint: str, *, files_per_batch: int = 5) -> StreamingQuery:
@@ -35,7 +25,7 @@ def totals_by_type(events: DataFrame) -> DataFrame:
 def run_to_end(spark: SparkSession, file: str, schema: StructType) -> DataFrame:
     """Per-batch totals of a stream over the file's folder: each batch is written under its number, so that a replayed batch replaces itself."""
     folder, name = file.rsplit("/", 1)
-    work = scratch(spark)
+    work = shared_path(spark, "stream")
     sink = f"{work}/totals"
 
     def process(batch: DataFrame, number: int) -> None:
