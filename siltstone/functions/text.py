@@ -28,9 +28,13 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+#: What counts as blank at the ends of a text: ASCII white space, the Unicode blanks, and the byte order mark.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    """Without white space at either end, the no-break kinds included."""
-    return F.regexp_replace(text, "^[\\s  -   　﻿]+|[\\s  -   　﻿]+$", "")
+    """Without blanks at either end, the no-break kinds included."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def plain_spaces(text: Column) -> Column:

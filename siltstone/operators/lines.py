@@ -33,10 +33,11 @@ def section_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), trimmed), lambda x: x != "")
     names = F.create_map(*[F.lit(x) for s in SECTIONS[:-1] for x in (s.lower(), s)])
+    longest = max(map(len, SECTIONS[:-1])) + 1
     start = F.struct(F.lit("uncategorized").alias("now"), F.array().cast("array<struct<section:string,pos:int,line:string>>").alias("out"))
 
     def step(a: Column, line: Column) -> Column:
-        header = names[F.regexp_replace(F.lower(line), ":$", "")]
+        header = F.when(F.length(line) <= longest, names[F.regexp_replace(F.lower(line), ":$", "")])
         row = F.struct(a["now"].alias("section"), F.size(a["out"]).alias("pos"), line.alias("line"))
         return F.struct(F.coalesce(header, a["now"]).alias("now"), F.when(header.isNull(), F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
 
