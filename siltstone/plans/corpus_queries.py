@@ -245,13 +245,13 @@ def metric_value_accuracy(t: Tables) -> DataFrame:
     return an.metric_accuracy(gold, found.withColumn("unit", F.lit("usd")).withColumn("pos", F.lit(0)), "report", 0.2)
 
 
-@query("list_accuracy", """WITH g AS (SELECT s_nationkey AS k, (s_acctbal::BIGINT // 1000) AS x, row_number() OVER (PARTITION BY s_nationkey, (s_acctbal::BIGINT // 1000)) AS n FROM supplier),
-f AS (SELECT c_nationkey AS k, (c_acctbal::BIGINT // 1000) AS x, row_number() OVER (PARTITION BY c_nationkey, (c_acctbal::BIGINT // 1000)) AS n FROM customer WHERE c_custkey % 9 = 0),
+@query("list_accuracy", """WITH g AS (SELECT s_nationkey AS k, floor(s_acctbal / 1000) AS x, row_number() OVER (PARTITION BY s_nationkey, floor(s_acctbal / 1000)) AS n FROM supplier),
+f AS (SELECT c_nationkey AS k, floor(c_acctbal / 1000) AS x, row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal / 1000)) AS n FROM customer WHERE c_custkey % 9 = 0),
 j AS (SELECT coalesce(g.k, f.k) AS k, count(g.n) AS gold, count(f.n) AS found, count(*) FILTER (g.n IS NOT NULL AND f.n IS NOT NULL) AS matched FROM g FULL JOIN f ON g.k = f.k AND g.x = f.x AND g.n = f.n GROUP BY 1)
 SELECT k, gold::BIGINT AS gold, found::BIGINT AS found, matched::BIGINT AS matched, round(CASE WHEN gold > 0 THEN matched / gold ELSE 1 END, 6)::DOUBLE AS accuracy, round(CASE WHEN found > 0 THEN (found - matched) / found ELSE 0 END, 6)::DOUBLE AS false_positive_rate,
   CASE WHEN gold > 0 THEN matched / gold ELSE 1 END >= 0.9 AND found = matched AS passed FROM j""")
 def list_accuracy(t: Tables) -> DataFrame:
-    bin_of = lambda c: F.floor(F.round(F.col(c), 0) / 1000)
+    bin_of = lambda c: F.floor(F.col(c) / 1000)
     gold = t.supplier.select(F.col("s_nationkey").alias("k"), bin_of("s_acctbal").alias("x"))
     found = t.customer.where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("k"), bin_of("c_acctbal").alias("x"))
     return an.list_accuracy(gold, found, "k", "x")

@@ -270,9 +270,9 @@ def link_crawl(t: Tables) -> DataFrame:
     return src.links(t.pages, "/[A-Za-z]")
 
 
-@query("year_alias", """SELECT p_partkey AS k, 'doc-' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-2017' END AS file FROM part WHERE p_partkey % 10 < 2""")
+@query("year_alias", """SELECT p_partkey AS k, 'doc-n' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-2017' END AS file FROM part WHERE p_partkey % 10 < 2""")
 def year_alias(t: Tables) -> DataFrame:
-    ids = t.part.where("p_partkey % 10 < 2").select(F.col("p_partkey").alias("k"), F.format_string("doc-%d", "p_partkey").alias("id"))
+    ids = t.part.where("p_partkey % 10 < 2").select(F.col("p_partkey").alias("k"), F.format_string("doc-n%d", "p_partkey").alias("id"))
     own = ids.where("k % 2 = 0").select(F.col("id").alias("file"), F.lit(1).alias("size"))
     dated = ids.select(F.concat("id", F.lit("-2015")).alias("file"), F.lit(5).alias("size")).unionAll(ids.select(F.concat("id", F.lit("-2017")).alias("file"), F.lit(9).alias("size")))
     return ids.join(src.year_alias(ids.select("id"), own.unionAll(dated)), "id").select("k", "file")
