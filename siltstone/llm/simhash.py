@@ -21,14 +21,13 @@ but never names a component, unless all ids of the component are null.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import components
@@ -190,111 +189,170 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(members, "fp").select("id", "fp", "component")
 
 
-TABLES = 10
+KEYS = 8  # min-hash pairs of the first contraction
+FREQUENT = 1 << 17  # shingles that the global order knows as frequent
+_MIXERS = np.random.default_rng(SEED).integers(1, 1 << 32, (3, 2 * KEYS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def word_fingerprints(words: list[bytes], tables: int = TABLES) -> list[int]:
-    """Independent 64-bit SimHashes over words, weighted by how often they occur and by length over three bytes.
+def min_hash_pairs(hashes: np.ndarray) -> list[int]:
+    """Each of ``KEYS`` longs is two min-hashes of a set of 32-bit hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(2 * KEYS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(hashes), 1 << 14):  # bounded memory for any text
+        mixed = (hashes[None, at : at + (1 << 14)] ^ _MIXERS[0]) * _MIXERS[1]
+        mixed = (mixed ^ mixed >> np.uint32(15)) * _MIXERS[2]
+        np.minimum(least, (mixed ^ mixed >> np.uint32(16)).min(axis=1), out=least)
+    return least.view(np.int64).tolist()
 
-    Short words are the common ones of most languages; without them, texts that
-    only share a language are far apart.  Texts of short words alone count them all.
-    """
-    counts = Counter(words)
-    long = {w: n * (len(w) - 3) for w, n in counts.items() if len(w) > 3}
-    counts = long or counts
-    raw = b"".join(xxhash.xxh3_128_digest(w, seed) for w in counts for seed in range((tables + 1) // 2))
-    if not raw:
-        return [0] * tables
-    rows = np.frombuffer(raw, dtype=np.uint8).reshape(len(counts), -1)
-    weights = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-    sums = np.zeros(rows.shape[1] * 8, dtype=np.float64)
-    for at in range(0, len(rows), 1 << 14):  # bounded memory for any text
-        sums += weights[at : at + (1 << 14)] @ np.unpackbits(rows[at : at + (1 << 14)], axis=1).astype(np.float32)
-    packed = np.packbits(2 * sums > weights.sum(dtype=np.float64)).view(">u8").astype(np.uint64).view(np.int64)
-    return packed[:tables].tolist()
-
-
-def described(docs: DataFrame, width: int, tables: int) -> DataFrame:
-    """(id, same, fps, shingles): the normalised text's digest, SimHashes, and distinct 32-bit shingle hashes."""
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """(id, text, same, keys, n, shingles): digests of the text and of the normalised text, min-hash
+    pairs, and the distinct 32-bit shingle hashes with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                same, fps, sets = [], [], []
-                for text in part.column(1).to_pylist():
+                same, keys, sets = [], [], []
+                for text in part.column(2).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    words = raw.lower().split()
-                    same.append(hashlib.md5(b" ".join(words)).digest())
-                    fps.append(word_fingerprints(words, tables))
-                    hashes = np.array([xxhash.xxh32_intdigest(s) for s in shingles(raw, width)], dtype=np.uint32)
-                    sets.append(np.unique(hashes.view(np.int32)))
-                offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64())), lists], names=["id", "same", "fps", "shingles"])
+                    same.append(hashlib.md5(b" ".join(raw.lower().split())).digest())
+                    hashes = np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(raw, width)], dtype=np.uint32))
+                    keys.append(min_hash_pairs(hashes))
+                    sets.append(hashes.view(np.int32))
+                sizes = [len(x) for x in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + sizes).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+                columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "same", "keys", "n", "shingles"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, same binary, fps array<long>, shingles array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("digest"), "text")
+    return rows.mapInArrow(run, "id long, text binary, same binary, keys array<long>, n int, shingles array<int>")
 
 
-def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """(id, component): near duplicates by shingle-set likeness, candidates by SimHash.
+def text_digest(text: Column) -> Column:
+    """16 bytes of a text, none of a null one."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
-    Two documents are near duplicates if their sets of ``width``-word shingles
-    have a Jaccard likeness of at least ``threshold``.  Candidates are found by
-    several word-frequency SimHashes and Golay keys: members of a fingerprint
-    class are compared with its smallest id, classes by their smallest ids.
-    Equal normalised texts are one class from the start.  Rows with a null id
-    take no part.
-    """
-    spark, whole = docs.sparkSession, new_path(docs.sparkSession, "near-described")
-    described(docs.where(F.col("doc_id").isNotNull()), width, tables).write.option("compression", "zstd").parquet(whole)
-    table = spark.read.parquet(whole)
-    copies = materialize(table.groupBy("same").agg(F.min("id").alias("first")), "near-copies")
-    own = materialize(table.select("id", "same").join(copies, "same").select("id", "first"), "near-own")
-    singles = table.select("id", "fps").join(own.where("id = first").select("id").distinct(), "id", "left_semi").select("id", F.posexplode("fps").alias("table", "fp"))
-    singles = materialize(singles, "near-prints")
-    classes = materialize(singles.groupBy("table", "fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "near-classes")
-    within = singles.join(classes.where("n > 1"), ["table", "fp"]).where("id != node").select(F.col("node").alias("x"), F.col("id").alias("y"))
-    met = materialize(class_links(classes.select("table", "fp"), radius), "near-links")
-    named = classes.select("table", "fp", "node")
-    met = met.join(named.select("table", F.col("fp").alias("a"), F.col("node").alias("x")), ["table", "a"]).join(named.select("table", F.col("fp").alias("b"), F.col("node").alias("y")), ["table", "b"])
-    pairs = within.unionAll(met.select("x", "y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(table.select("id", "shingles").join(nodes, "id", "left_semi").dropDuplicates(["id"]), "near-sets")
-    delete_path(spark, whole)  # the largest of the tables; nothing reads it from here on
-    # a link inside a component that is already known tells nothing: verify each node's smallest
-    # candidate first, then only pairs between the components that this leaves
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = materialize(_alike(first, sets, threshold), "near-first")
-    roots = components.connected(first)
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = _alike(materialize(_likely(rest, sets, threshold), "near-likely"), sets, threshold)
-    roots = components.connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(rest))
-    return materialize(own.join(roots.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("component")), "near-named")
 
+def needed(size: int | np.ndarray, threshold: float) -> np.ndarray:
+    """How many of a set's elements any set of that likeness has at least."""
+    return np.ceil(threshold * np.asarray(size) - 1e-9).astype(np.int64)
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, column: Column) -> DataFrame:
-    """pairs (a, b) with x and y: the column of their rows in sets."""
-    return pairs.join(sets.select(F.col("id").alias("b"), column.alias("y")), "b").join(sets.select(F.col("id").alias("a"), column.alias("x")), "a")
 
+def prefixes(table: DataFrame, threshold: float) -> DataFrame:
+    """(row, n, last, prefix): the first n - needed(n) + 1 shingles of each set in a global order, and the last one's place.
+
+    The order is by hash, with frequent shingles last, by their number in an
+    eighth of the rows.  Any order finds the same pairs; this one keeps lists short.
+    """
+    counted = table.where(F.pmod(F.xxhash64("row"), F.lit(8)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = counted.where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    known, times = often["key"].to_numpy().astype(np.int32).view(np.uint32), often["n"].to_numpy().astype(np.int64)
+    by_hash = np.argsort(known)
+    shared = table.sparkSession.sparkContext.broadcast((known[by_hash], times[by_hash]))  # FREQUENT rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = shared.value
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            place = flat.astype(np.int64)
+            if len(known):
+                found = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                place |= np.where(known[found] == flat, times[found], 0) << 32
+            owner = np.repeat(np.arange(len(n)), n)
+            place = place[np.lexsort((place, owner))]
+            kept = np.where(n > 0, n - needed(n, threshold) + 1, 0)
+            starts = np.cumsum(n) - n
+            inside = np.arange(len(place)) - starts[owner] < kept[owner]
+            last = np.where(n > 0, place[np.minimum(starts + kept - 1, len(place) - 1)], -1) if len(place) else np.full(len(n), -1)
+            first = pa.array((place[inside] & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(last, pa.int64()), lists], names=["row", "n", "last", "prefix"])
+
+    small_batches(table.sparkSession)
+    return table.select("row", "n", "shingles").mapInArrow(run, "row long, n int, last long, prefix array<int>")
+
+
+def _contracted(table: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): components of verified links between each node and one node of its min-hash pairs.
+
+    It need not find all links: it makes large groups one component, so that
+    their pairs need no comparison.
+    """
+    keyed = table.select("row", "keys").join(heads, "row", "left_semi").select("row", F.posexplode("keys").alias("at", "key"))
+    keyed = materialize(keyed, "near-keys")
+    groups = keyed.groupBy("at", "key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(groups, ["at", "key"]).where("row != a").groupBy("a", F.col("row").alias("b")).agg(F.count("*").alias("n"))
+    pairs = materialize(met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "near-first")
+    return components.connected(_alike(pairs, table, threshold))
 
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets have at least that Jaccard likeness."""
-    common = F.size(F.array_intersect("x", "y"))
-    counted = _with_sets(pairs, sets, F.col("shingles")).select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
-    return counted.where((F.col("u") == 0) | (F.col("c") >= threshold * F.col("u"))).select("a", "b")
 
+def _candidates(first: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of nodes in different components that can have the likeness, by exact bounds only.
 
-def _likely(pairs: DataFrame, sets: DataFrame, threshold: float, k: int = 64) -> DataFrame:
-    """Without pairs whose bottom-k sketches put them more than 3.6 standard errors below the threshold."""
-    least = threshold - 3.6 * (threshold * (1 - threshold) / k) ** 0.5
-    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, k)
-    both = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    met = _with_sets(pairs, sets, F.slice("shingles", 1, k)).select("a", "b", both.alias("c"), F.size(union).alias("u"))
-    return met.where((F.col("u") == 0) | (F.col("c") >= least * F.col("u"))).select("a", "b")
+    first: the rows of :func:`prefixes`; nodes: (row, root).  Two alike sets share
+    a prefix element.  Shared elements up to the lesser of the two last places are
+    in both prefixes; of those after it there are at most needed(n) - 1.
+    """
+    lists = first.select(F.explode("prefix").alias("key"), "row")
+    lists = lists.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "row")
+    lists = materialize(materialize(lists, "near-lists").join(nodes, "row"), "near-list-roots")
+    # pairs are made between the components of a list, never inside one
+    groups = materialize(lists.groupBy("key", "root").agg(F.collect_list("row").alias("rows")), "near-list-groups")
+    several = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    groups = materialize(groups.join(several, "key", "left_semi"), "near-list-several")
+    other = groups.select("key", F.col("root").alias("root_b"), F.col("rows").alias("rows_b"))
+    met = groups.join(other, "key").where("root < root_b").select(F.explode("rows").alias("x"), "rows_b").select("x", F.explode("rows_b").alias("y"))
+    met = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("c"))
+    sized = lambda c: first.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("last").alias(f"last_{c}"))
+    met = materialize(met, "near-met").join(sized("a"), "a").join(sized("b"), "b")
+    left = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    most = F.least(F.col("c") + F.ceil(threshold * left - 1e-9) - 1, "n_a", "n_b")
+    return met.where(most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+
+def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, text, first): near duplicates by shingle-set likeness, all of them.
+
+    Two documents are near duplicates if their sets of ``width``-word shingles
+    have a Jaccard likeness of at least ``threshold``; groups are the components
+    of these links.  Equal normalised texts are one node from the start.  Links
+    that min-hashes find join most of a group; an exact prefix-filter join then
+    gives all other pairs that the bounds allow, each verified with whole sets.
+    A row is known by id and digest of its text; ``first`` (id, text) is the
+    least of the group.  Rows with a null id take no part.
+    """
+    spark, whole = docs.sparkSession, new_path(docs.sparkSession, "near-described")
+    rows = described(docs.where(F.col("doc_id").isNotNull()), width).withColumn("row", F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(whole)
+    table = spark.read.parquet(whole)
+    copies = materialize(table.groupBy("same").agg(F.min("row").alias("node")), "near-copies")
+    own = materialize(table.select("row", "id", "text", "same").join(copies, "same").select("row", "id", "text", "node"), "near-own")
+    heads = copies.select(F.col("node").alias("row"))
+    roots = _contracted(table, heads, threshold)
+    nodes = heads.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("root"))
+    nodes = materialize(nodes, "near-nodes")
+    pairs = materialize(_candidates(materialize(prefixes(table, threshold), "near-prefixes"), nodes, threshold), "near-pairs")
+    rest = materialize(_alike(pairs, table, threshold), "near-rest")
+    delete_path(spark, whole)  # the largest of the tables; nothing reads it from here on
+    roots = components.connected(nodes.select(F.col("root").alias("a"), F.col("row").alias("b")).unionAll(rest))
+    named = own.join(roots, "node", "left").select("id", "text", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "near-named")
+    first = materialize(named.groupBy("root").agg(F.min(F.struct("id", "text")).alias("first")), "near-least")
+    return materialize(named.join(first, "root").select("id", "text", "first"), "near-found")
+
+
+def _alike(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have at least that Jaccard likeness."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = materialize(table.select("row", "shingles").join(nodes, "row", "left_semi"), "near-sets")
+    at = lambda c, name: sets.select(F.col("row").alias(c), F.col("shingles").alias(name))
+    common = F.size(F.array_intersect("x", "y"))
+    counted = pairs.join(at("b", "y"), "b").join(at("a", "x"), "a").select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
+    return counted.where(F.col("c") >= threshold * F.col("u") - 1e-9).select("a", "b")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -303,7 +361,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     gone = new_path(spark, "near-removed")
     with scratch():
         found = verified_near_duplicates(docs, **options)
-        found.where("component != id").select("id").distinct().write.parquet(gone)
+        found.where("first.id != id").select("id").distinct().write.parquet(gone)
         repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     removed = spark.read.schema("id long").parquet(gone)
     # merged at any size: the ids grow with the corpus, so they are never broadcast

@@ -518,3 +518,50 @@ def test_verified_near_duplicates(spark):
         assert kept & set(range(i, i + 6)) == {i, i + 5}
     assert {5, 1, 2} & kept == set() and {0, 3, 4, 6} <= kept
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def brute_kept(texts, width=5, threshold=0.8):
+    """Ids that are the least of their component of shingle-set likeness."""
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def edited(rng, words, vocabulary, kind, share):
+    """A near copy: a passage appended, a block or the longest words replaced, or scattered edits."""
+    n, words = max(1, int(len(words) * share)), list(words)
+    if kind == "append":
+        return words + rng.choices(vocabulary, k=n)
+    if kind == "block":
+        at = rng.randrange(len(words) - n)
+        return words[:at] + rng.choices(vocabulary, k=n) + words[at + n :]
+    places = sorted(range(len(words)), key=lambda i: -len(words[i])) if kind == "long" else rng.sample(range(len(words)), len(words))
+    for at in places[: max(1, n // 6)]:
+        words[at] = rng.choice(vocabulary) + "x"
+    return words
+
+
+@pytest.mark.parametrize("kind", ["append", "block", "long", "scattered"])
+def test_near_duplicates_of_any_edit_are_found(spark, kind):
+    rng = random.Random(kind)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 12))) for _ in range(800)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        texts += [" ".join(base), " ".join(edited(rng, base, vocabulary, kind, rng.choice([0.04, 0.08, 0.12, 0.18, 0.24])))]
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()} == brute_kept(texts)
