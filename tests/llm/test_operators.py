@@ -565,3 +565,24 @@ def test_near_duplicates_of_any_edit_are_found(spark, kind):
         base = rng.choices(vocabulary, k=rng.randint(60, 400))
         texts += [" ".join(base), " ".join(edited(rng, base, vocabulary, kind, rng.choice([0.04, 0.08, 0.12, 0.18, 0.24])))]
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()} == brute_kept(texts)
+
+
+def test_verified_near_duplicates_of_short_words(spark):
+    """Short codes in which a longer word is swapped in."""
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = list(ODD_TEXTS)
+    for _ in range(10):
+        base = rng.choices(vocabulary, k=200)
+        texts.append(" ".join(base))
+        for edits in (0, 1, 2, 3):
+            words = list(base)
+            for at in rng.sample(range(200), edits):
+                words[at] = "changed"
+            texts.append(" ".join(words).upper())
+        texts.append(" ".join(rng.choices(vocabulary, k=200)))
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    n = len(ODD_TEXTS)
+    for i in range(n, len(texts), 6):
+        assert kept & set(range(i, i + 6)) == {i, i + 5}
+    assert {5, 1, 2} & kept == set() and {0, 3, 4, 6} <= kept
