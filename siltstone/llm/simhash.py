@@ -356,14 +356,24 @@ def _alike(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Documents without near duplicates of a smaller id; rows with a null id stay."""
+    """Documents without near duplicates of a smaller id; rows with a null id stay.
+
+    A row is known by id and digest of its text, so that rows of one id are judged
+    each by its own text; of rows equal in both, the first by their other columns stays.
+    """
     spark = docs.sparkSession
     gone = new_path(spark, "near-removed")
     with scratch():
         found = verified_near_duplicates(docs, **options)
-        found.where("first.id != id").select("id").distinct().write.parquet(gone)
-        repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    removed = spark.read.schema("id long").parquet(gone)
+        found.where((F.col("first.id") != F.col("id")) | (F.col("first.text") != F.col("text"))).select("id", "text").distinct().write.parquet(gone)
+        repeated = found.groupBy("id", "text").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    removed = spark.read.schema("id long, text binary").parquet(gone).select("id", F.col("text").alias("digest"))
     # merged at any size: the ids grow with the corpus, so they are never broadcast
-    kept = docs.join(removed.hint("merge"), docs["doc_id"].cast("long") == removed["id"], "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    same = (docs["doc_id"].cast("long") == removed["id"]) & (text_digest(docs["text"]) == removed["digest"])
+    kept = docs.join(removed.hint("merge"), same, "left_anti")
+    if not repeated:
+        return kept
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))
+    tie = F.row_number().over(Window.partitionBy("doc_id", text_digest(F.col("text"))).orderBy(others))
+    known = kept.where(F.col("doc_id").isNotNull()).withColumn("_tie", tie).where("_tie = 1").drop("_tie")
+    return known.unionAll(kept.where(F.col("doc_id").isNull()))

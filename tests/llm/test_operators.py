@@ -601,3 +601,11 @@ def test_near_duplicates_beside_an_unlike_smallest_id(spark):
         texts.append(" ".join([*order[:at], "of", *order[at:]]))
     kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()}
     assert kept == brute_kept(texts) == {i for i in range(40) if i % 4 < 3}
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "a b c d e f g"), (2, "o p q r s"), (2, None), (3, "H i j k l m n"), (3, "t u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    want = [rows[i] for i in (0, 1, 2, 3, 4, 7, 8, 10)]
+    assert sorted(got, key=str) == sorted(want, key=str)
