@@ -30,22 +30,26 @@ SELECT doc_id, size, source_size, target,
 FROM e"""
 
 
-def license_sql(threshold: float = 0.8) -> str:
-    def listed(values):
-        return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-    split = rf"regexp_split_to_array(translate(%s, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.SEPARATOR}')"
-    templates = ", ".join(f"('{label}', {listed(sorted(set(license_scan.template_words(text))))})" for label, text in license_scan.TEMPLATES)
-    phrases = ", ".join(f"('{label}', {listed(p.split(' '))})" for p, label in license_scan.PHRASES.items())
+def license_sql(threshold: float = 0.8, stretch: float = 1.5) -> str:
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    split = f"regexp_split_to_array(translate(%s, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.SEPARATOR}')"
+    parts = [(label, license_scan.template_words(text)) for label, text in license_scan.TEMPLATES]
+    templates = ", ".join(f"({i}, '{label}', {quoted(sorted(set(ws)))}, {len(ws)})" for i, (label, ws) in enumerate(parts))
+    phrases = ", ".join(f"('{label}', {quoted(phrase.split(' '))})" for phrase, label in license_scan.PHRASES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
              list_filter({split % "coalesce(text, '')"}, lambda x: x <> '') AS ws FROM documents),
-t(label, ws) AS (VALUES {templates}),
+t(id, label, ws, size) AS (VALUES {templates}),
 b(label, ws) AS (VALUES {phrases}),
-lines AS (SELECT n, list_distinct(list_filter({split % "line"}, lambda x: x <> '')) AS ls
-          FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d)),
-hits AS (SELECT n, label, len(list_intersect(ls, t.ws)) / len(t.ws) AS c FROM lines, t
-         WHERE len(list_intersect(ls, t.ws)) >= ceil({threshold} * len(t.ws) - 1e-9)),
+need AS (SELECT id, label, len(ws) AS s, ceil({threshold} * len(ws) - 1e-9) AS need, ceil({stretch} * size - 1e-9) AS width FROM t),
+tw AS (SELECT id, unnest(ws) AS w FROM t),
+dw AS (SELECT n, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+occ AS (SELECT n, id, w, p FROM dw JOIN tw USING (w)),
+able AS (SELECT n, id, any_value(label) AS label, any_value(s) AS s, any_value(need) AS need, any_value(width) AS width
+         FROM occ JOIN need USING (id) GROUP BY n, id HAVING count(DISTINCT w) >= any_value(need)),
+blocks AS (SELECT n, id, a.p, any_value(label) AS label, any_value(s) AS s, any_value(need) AS need, count(DISTINCT z.w) AS c
+           FROM able JOIN occ a USING (n, id) JOIN occ z USING (n, id) WHERE z.p >= a.p AND z.p < a.p + width GROUP BY n, id, a.p),
+hits AS (SELECT n, label, c / s AS c FROM blocks WHERE c >= need),
 places AS (SELECT n, label, unnest(list_filter(range(len(d.ws)), lambda i: d.ws[i + 1 : i + len(b.ws)] = b.ws)) AS pl
            FROM d, b),
 base AS (SELECT n, count(*) AS n_base, min(pl) AS first_word, max(pl) AS last_word,
