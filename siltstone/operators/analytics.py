@@ -162,18 +162,35 @@ def keep_best(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> D
 
 
 def canonical_dedupe(rows: DataFrame, group: str, canon: Column, confidence: str, pos: str) -> DataFrame:
-    """Per group and canonical name the most confident row, at the place of the first."""
-    w = Window.partitionBy(group, "_c")
-    kept = rows.withColumn("_c", canon).withColumn("place", F.min(pos).over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col(confidence).desc(), pos)))
-    return kept.where("_n = 1").drop("_n", "_c")
+    """Per group and canonical name the most confident row, at the place of the first: one aggregation, combined before the shuffle."""
+    rest = F.struct(*[F.col(c) for c in rows.columns])
+    best = rows.withColumn("_c", canon).groupBy(group, "_c").agg(F.min_by(rest, F.struct(-F.col(confidence), F.col(pos))).alias("_r"), F.min(pos).alias("place"))
+    return best.select("_r.*", "place")
 
 
-def index_percentiles(rows: DataFrame, key: str, value: str, percents: Sequence[int] = (90, 95, 99)) -> DataFrame:
-    """Per key: min, max, mean, the element at the middle and at each percentile's index of the sorted values."""
-    agg = rows.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.round(F.avg(value), 6).alias("mean"))
-    n = F.size("_v")
-    at = lambda i: F.get("_v", i.cast("int"))
-    return agg.select(key, at(F.lit(0)).alias("least"), at(F.floor(n / 2)).alias("median"), *[at(F.floor(F.lit(p) * (n - 1) / 100)).alias(f"p{p}") for p in percents], at(n - 1).alias("most"), "mean")
+def index_percentiles(rows: DataFrame, key: str, value: str, percents: Sequence[int] = (90, 95, 99), buckets: int = 4096) -> DataFrame:
+    """Per key: min, max, mean, the element at the middle and at each percentile's index of the sorted values; null values are left out.
+
+    Values are counted by bucket between the key's least and greatest; running
+    sums tell the bucket that has each index, and only those buckets' values, as
+    counts of distinct ones, are put in order.  No task holds a key's values.
+    """
+    rows = rows.select(key, F.col(value).cast("double").alias("_v"), F.col(value).alias("_x")).where("_v IS NOT NULL")
+    whole = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min("_x").alias("least"), F.max("_x").alias("most"), F.round(F.avg("_x"), 6).alias("mean"))
+    reach = F.col("most").cast("double") - F.col("least").cast("double")
+    bucket = F.when(reach > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("least")) / reach * buckets))).otherwise(0).cast("int")
+    counted = rows.join(whole.select(key, "least", "most"), key).groupBy(key, bucket.alias("_b"), "_x").agg(F.count("*").alias("_c"))
+    names = ["median", *[f"p{p}" for p in percents]]
+    places = [F.floor(F.col("_n") / 2), *[F.floor(F.lit(p) * (F.col("_n") - 1) / 100) for p in percents]]
+    wanted = whole.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.alias("at")) for name, at in zip(names, places, strict=True)])).alias("w")).select(key, "w.*")
+    order = Window.partitionBy(key).orderBy("_b")
+    sums = counted.groupBy(key, "_b").agg(F.sum("_c").alias("_s")).withColumn("_to", F.sum("_s").over(order)).withColumn("_from", F.col("_to") - F.col("_s"))
+    hit = sums.join(wanted, key).where("at >= _from AND at < _to").select(key, "_b", "_from", "name", "at")
+    inside = counted.join(hit.select(key, "_b", "_from").distinct(), [key, "_b"])
+    inside = inside.withColumn("_end", F.col("_from") + F.sum("_c").over(Window.partitionBy(key, "_b").orderBy("_x"))).withColumn("_begin", F.col("_end") - F.col("_c"))
+    found = inside.drop("_from").join(hit.select(key, "_b", "name", "at"), [key, "_b"]).where("at >= _begin AND at < _end")
+    picked = found.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("_x"))).alias(n) for n in names])
+    return whole.join(picked, key).select(key, "least", *names, "most", "mean")
 
 
 def top_share(rows: DataFrame, key: str, order: Sequence[Column], part: float = 0.3, least: int = 1, most: int = 3) -> DataFrame:
@@ -218,16 +235,108 @@ def metric_accuracy(gold: DataFrame, found: DataFrame, key: str, tolerance: floa
 
 def list_accuracy(gold: DataFrame, found: DataFrame, group: str, key: str) -> DataFrame:
     """Multiset matching one to one by key: matched share of gold, unmatched share of found, and the gate."""
-    def numbered(d: DataFrame) -> DataFrame:
-        return d.withColumn("_n", F.row_number().over(Window.partitionBy(group, key).orderBy(key)))
-
-    g, f = numbered(gold.select(group, key)).withColumn("_g", F.lit(1)), numbered(found.select(group, key)).withColumn("_f", F.lit(1))
-    j = g.join(f, [group, key, "_n"], "full").groupBy(group).agg(count_if(F.col("_g").isNotNull()).alias("gold"), count_if(F.col("_f").isNotNull()).alias("found"), count_if(F.col("_g").isNotNull() & F.col("_f").isNotNull()).alias("matched"))
+    both = gold.select(group, key, F.lit(1).alias("_g"), F.lit(0).alias("_f")).unionByName(found.select(group, key, F.lit(0).alias("_g"), F.lit(1).alias("_f")))
+    counted = both.groupBy(group, key).agg(F.sum("_g").alias("_g"), F.sum("_f").alias("_f"))
+    j = counted.groupBy(group).agg(F.sum("_g").alias("gold"), F.sum("_f").alias("found"), F.sum(F.least("_g", "_f")).alias("matched"))
     accuracy = F.when(F.col("gold") > 0, F.col("matched") / F.col("gold")).otherwise(1.0)
     false = F.when(F.col("found") > 0, (F.col("found") - F.col("matched")) / F.col("found")).otherwise(0.0)
     return j.select(group, "gold", "found", "matched", F.round(accuracy, 6).alias("accuracy"), F.round(false, 6).alias("false_positive_rate"), ((accuracy >= 0.9) & (false == 0)).alias("passed"))
 
 
+def matched_reports(gold: DataFrame, silver: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, missing): gold reports with the silver ones of their id, and gold ids that have none."""
+    return gold.join(silver, key), gold.join(silver.select(key), key, "left_anti").select(key)
+
+
+def jaccard(left: DataFrame, right: DataFrame, group: str, item: str) -> DataFrame:
+    """Per group the Jaccard likeness of two item sets; two empty sets count as alike, and have no row."""
+    both = left.select(group, item, F.lit(1).alias("_s")).unionByName(right.select(group, item, F.lit(2).alias("_s"))).groupBy(group, item).agg(F.bit_or("_s").alias("_s"))
+    return both.groupBy(group).agg(count_if(F.col("_s") == 3).alias("common"), F.count("*").alias("every")).withColumn("jaccard", F.round(F.col("common") / F.col("every"), 6))
+
+
+def normalized_of(tables: DataFrame, normalized: DataFrame, report: str, table: str) -> DataFrame:
+    """Tables with the first normalized one of their id (report, table, pos, rows)."""
+    rest = [c for c in normalized.columns if c not in (report, table)]
+    first = normalized.groupBy(report, table).agg(F.min_by(F.struct(*rest), "pos").alias("_r"))
+    return tables.join(first, [report, table], "left").select(*tables.columns, *[F.col(f"_r.{c}").alias(f"normalized_{c}") for c in rest])
+
+
+# --- orders of displayed lists ---
+
+#: Ways to order a list of reports, greatest first: each by a column of the list; any other goes by id.
+REPORT_ORDERS = {"recent": "generated_at", "tables": "tables", "reported": "total_reported", "computed": "total_computed", "discrepancy": "discrepancy", "patterns": "pattern_count"}
+
+
+def ordered_reports(reports: DataFrame, by: str = "id", first: int = 100) -> DataFrame:
+    """The first reports in one of the ``REPORT_ORDERS``, with their place; missing values count as least, differences by size, ties go by id, case aside."""
+    ties = [F.lower("id"), F.col("id")]
+    if by not in REPORT_ORDERS:
+        return placed(reports, ties, first)
+    c = F.col(REPORT_ORDERS[by])
+    c = c if by == "recent" else F.abs(F.coalesce(c, F.lit(0))) if by == "discrepancy" else F.coalesce(c, F.lit(0))
+    return placed(reports, [c.desc_nulls_last(), *ties], first)
+
+
+def ordered_practices(practices: DataFrame, by: str, first: int = 100) -> DataFrame:
+    """The costliest practices by ``total``, ``nrcs`` or ``producer``, ties by name."""
+    if by not in ("total", "nrcs", "producer"):
+        raise ValueError(by)
+    return placed(practices, [F.coalesce(F.col(by), F.lit(0.0)).desc(), F.lower("name"), F.col("id")], first)
+
+
+def ordered_usage(usage: DataFrame, first: int = 100) -> DataFrame:
+    """Patterns by number of tables, most first, ties by id."""
+    return placed(usage, [F.col("tables").desc(), F.col("pattern_id")], first)
+
+
+def costs_first(reports: DataFrame, first: int = 100) -> DataFrame:
+    """Reports with costs before those without, each by id, case aside."""
+    return placed(reports, [F.col("has_cost").desc(), F.lower("id"), F.col("id")], first)
+
+
+def placed(rows: DataFrame, order: Sequence[Column], first: int) -> DataFrame:
+    """The first rows by an order, numbered: a bounded top-k, so that the numbering is a small task."""
+    return rows.orderBy(*order).limit(first).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+# --- smaller filters and audits ---
+
+#: The rows that a phase-one table may have.
+PHASE_ONE = (
+    "grade stabilization structure", "heavy use area protection", "tank/trough", "cover crops", "fencing", "pond", "technical assistance", "education and outreach", "monitoring",
+    "project management implementation coordination plan revision",
+)
+
+
+def id_contains(rows: DataFrame, id_col: str, part: str) -> DataFrame:
+    return rows.where(F.lower(id_col).contains(part.lower()))
+
+
+def phase_one_only(rows: DataFrame, name: str = "name") -> DataFrame:
+    """Rows that a phase-one table may have: case, ``&`` and marks other than a slash aside."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), ",", " "), r"\s*&\s*", " and ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9/\s]", " "), r"\s+", " "))
+    return rows.where(plain.isin(list(PHASE_ONE)))
+
+
+def ocr_needed(runs: DataFrame, error: str = "error") -> DataFrame:
+    """Documents whose parsing gave no text."""
+    return runs.where(F.col(error).contains("empty-text"))
+
+
+def reextraction_candidates(documents: DataFrame, id_col: str, text_col: str, cut: int = 18000, short: int = 600) -> DataFrame:
+    """Documents cut at the chunk length, and numbered parts that are suspiciously short."""
+    n = F.length(text_col)
+    return documents.where((n == cut) | (F.col(id_col).cast("string").rlike(r"-\d+$") & (n > 0) & (n < short)))
+
+
+def extraction_test(documents: DataFrame, practices: DataFrame, key: str, truncated: Column) -> DataFrame:
+    """One row: documents, those with practices and their share, practices a document, and truncated ones."""
+    per = documents.select(key, truncated.alias("_t")).join(practices.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    some = count_if(F.col("_n") > 0)
+    return per.agg(F.count("*").alias("documents"), some.alias("with_practices"), F.round(100.0 * some / F.count("*"), 2).alias("pct"), F.round(F.sum(F.coalesce("_n", F.lit(0))) / F.count("*"), 2).alias("avg_practices"), count_if(F.col("_t")).alias("truncated"))
+
+
 def impact(baseline: DataFrame, filtered: DataFrame, key: str) -> DataFrame:
     """Totals of both runs over the files that both have, the change and its percentage."""
     j = baseline.select(key, F.col("n").alias("_b")).join(filtered.select(key, F.col("n").alias("_f")), key)

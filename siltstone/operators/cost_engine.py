@@ -396,10 +396,15 @@ PATTERNS: Sequence[Pattern] = (
 FUNDING_FALLBACK = replace(next(p for p in PATTERNS if p.id == "multi_funding_source_costs"), confidence=0.80, head=_said(FUNDING_HEAD), reach=29, row=_loose_funding_row)
 
 
+def raw_lines(text: Column, keep_blank: bool = False) -> Column:
+    """Trimmed lines of a text; blank ones only on request."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), trimmed)
+    return lines if keep_blank else F.filter(lines, lambda x: x != "")
+
+
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_blank: bool = False) -> DataFrame:
     """(doc_id, lines): trimmed lines; blank ones only on request."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), trimmed)
-    return docs.select(F.col(id_col).alias("doc_id"), (lines if keep_blank else F.filter(lines, lambda x: x != "")).alias("lines"))
+    return docs.select(F.col(id_col).alias("doc_id"), raw_lines(F.col(text_col), keep_blank).alias("lines"))
 
 
 def _parsed(found: DataFrame, p: Pattern) -> DataFrame:
@@ -474,23 +479,37 @@ def cost_tables(lined: DataFrame, patterns: Sequence[Pattern] = PATTERNS, *, kee
 
 
 def drop_covered(tables: DataFrame) -> DataFrame:
-    """Adaptive blocks go whose span, or whose amounts, an explicit table of the document has."""
-    spans = F.collect_list(F.when(F.col("pattern_id") != "adaptive_generic_costs", F.struct("span_start", "span_end", "dollar_lines"))).over(Window.partitionBy("doc_id"))
-    covered = F.exists(
-        F.col("_spans"),
-        lambda s: ((s["span_start"] <= F.col("span_start")) & (s["span_end"] >= F.col("span_end"))) | ((F.size("dollar_lines") > 0) & (F.size(F.array_except(F.col("dollar_lines"), s["dollar_lines"])) == 0)),
-    )
-    return tables.withColumn("_spans", spans).where((F.col("pattern_id") != "adaptive_generic_costs") | ~covered).drop("_spans")
+    """Adaptive blocks go whose span, or whose amounts, an explicit table of the document has.
+
+    One group per document that has an adaptive block; the others pass as they are.
+    """
+    adaptive = F.col("pattern_id") == "adaptive_generic_costs"
+    own = [c for c in tables.columns if c != "doc_id"]
+    explicit = F.collect_list(F.when(~adaptive, F.struct("span_start", "span_end", "dollar_lines")))
+    grouped = tables.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_t"), explicit.alias("_s"))
+
+    def covered(t: Column) -> Column:
+        inside = lambda s: (s["span_start"] <= t["span_start"]) & (s["span_end"] >= t["span_end"])
+        same = lambda s: (F.size(t["dollar_lines"]) > 0) & (F.size(F.array_except(t["dollar_lines"], s["dollar_lines"])) == 0)
+        return F.exists("_s", lambda s: inside(s) | same(s))
+
+    kept = F.filter("_t", lambda t: (t["pattern_id"] != "adaptive_generic_costs") | ~covered(t))
+    return grouped.select("doc_id", F.explode(kept).alias("t")).select("doc_id", "t.*")
 
 
 def non_overlapping(tables: DataFrame) -> DataFrame:
-    """The tables kept when each line counts once: by confidence, then position."""
-    order = F.struct(-F.col("pattern_confidence"), F.col("span_start"), F.col("pattern_id"))
-    every = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("span_start").alias("s"), F.col("span_end").alias("e"))).over(Window.partitionBy("doc_id")))
-    empty = F.array().cast("array<struct<o:struct<col1:double,span_start:int,pattern_id:string>,s:int,e:int>>")
-    kept = F.aggregate(every, empty, lambda a, t: F.when(F.exists(a, lambda k: (k["s"] < t["e"]) & (t["s"] < k["e"])), a).otherwise(F.concat(a, F.array(F.struct(t["o"].alias("o"), t["s"].alias("s"), t["e"].alias("e"))))))
-    mine = F.exists(F.col("_kept"), lambda k: (k["s"] == F.col("span_start")) & (k["o"]["pattern_id"] == F.col("pattern_id")))
-    return tables.withColumn("_kept", kept).where(mine).drop("_kept")
+    """The tables kept when each line counts once: by confidence, then position; one fold per document."""
+    own = [c for c in tables.columns if c not in ("doc_id", "span_start", "pattern_id")]
+    # numbers and strings first, so that the sort never compares nested columns
+    row = F.struct((-F.col("pattern_confidence")).alias("o"), "span_start", "pattern_id", F.monotonically_increasing_id().alias("n"), F.struct(*own).alias("rest"))
+    grouped = tables.select("doc_id", row.alias("t")).groupBy("doc_id").agg(F.collect_list("t").alias("_t"))
+    keys = F.array_sort(F.transform("_t", lambda t: F.struct(t["o"].alias("o"), t["span_start"].alias("s"), t["pattern_id"].alias("p"), t["n"].alias("n"), t["rest"]["span_end"].alias("e"))))
+    kinds = {f.name: f.dataType.simpleString() for f in tables.schema}
+    empty = F.array().cast(f"array<struct<o:double,s:{kinds['span_start']},p:string,n:bigint,e:{kinds['span_end']}>>")
+    kept = F.aggregate(keys, empty, lambda a, t: F.when(F.exists(a, lambda k: (k["s"] < t["e"]) & (t["s"] < k["e"])), a).otherwise(F.concat(a, F.array(t))))
+    numbers = F.transform(kept, lambda k: k["n"])
+    mine = grouped.withColumn("_n", numbers).select("doc_id", F.explode(F.filter("_t", lambda t: F.array_contains(F.col("_n"), t["n"]))).alias("t"))
+    return mine.select("doc_id", "t.span_start", "t.pattern_id", "t.rest.*").select(*tables.columns)
 
 
 def cost_rows(tables: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ projection, so that Spark evaluates each pattern once per candidate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import canonical_name, extract, first_rule, last_rule, number, plain_quotes, short_title, token_count
+from siltstone.functions.text import canonical_name, cost_tail_cut, extract, first_rule, last_rule, number, plain_quotes, short_title, token_count
 from siltstone.operators import lines as ln
 
 # --- Fixed values: terms, patterns and categories that decide what is extracted. ---
@@ -80,6 +80,38 @@ TIME_RANGE = r"\b(20\d{2}\s*-\s*20\d{2})\b"
 PERCENT = r"\b\d{1,3}%\b"
 RETAINED = r"(?i)\b(fencing|structure|stabilization|planting|weir|basin|buffer|wetland|diversion|waterway|seeding)\b"
 
+TITLE_NOISE = (
+    r"(?i)^(project\s+goals?\s+goals?/objectives\s+\d+\s+)",
+    r"(?i)^(project\s+goals?\s+objectives?\s+\d+\s+)",
+    r"(?i)^(goals?\s+and\s+objectives?\s+)",
+    r"(?i)^(goals?\s*[:;]\s*)",
+    r"(?i)Goal Who What Where When Contacts",
+    r"(?i)Goals?/Objectives?",
+    r"(?i)^(?:Project\s+)?Goals?\b",
+    r"(?i)^(the watershed implementation plan has the goals? of reducing the nutrients? and\s+)",
+)
+HEADING_WORDS, IMPROVES = "(?i)goals?", "(?i)(reduce|decrease|improve|achieve|attain|protect|restore)"
+IMPROVES_POLLUTANT = "(?i)(reduce|decrease|improve|achieve|attain)"
+GOAL_WORD, GOAL_HEADING = r"(?i)\bgoals?\b", r"(?i)^goals?:?$"
+ULTIMATE = "the ultimate goal is to bring about"
+ULTIMATE_LINE = "(?i)The ultimate goal is to bring about"
+BROKEN_LINE = r"(?i)use of$"
+BROKEN_TEXT = r"(?i)use of\s*(?:\n|$)"
+WHOLE_TEXT = r"(?i)quality of life in the\s+watershed\."
+KNOWN_PLAN = "(?i)dry creek watershed plan"
+KNOWN_START = "(?i)The ultimate goal is to bring about behavior changes and the use of"
+KNOWN_GOAL = r"(?i)(The ultimate goal is to bring about behavior changes and the use of .*?best management practices.*?overall quality of life in the watershed\.)"
+STREAM_KEYS = ("the ultimate goal", "the overall goal", "the primary goal", "primary goal", "overall goal", "main goal", "goal is to")
+REPAIR_KEYS = ("the ultimate goal", "overall goal", "primary goal", " goal ")
+OBJECTIVE = r"(?i)((?:The\s+)?goal and objective is to[^.]{10,300}\.)"
+ANCHORED_GOAL = r"(?i)^\s*goal[:\-]|\bgoal:"
+SEMANTIC_GOAL = r"(?i)(ultimate goal|overall goal|primary objective|main objective|intended outcome|mission is to)"
+FALLBACK_SECTIONS = ("Monitoring", "Implementation", "BMPs", "Outreach")
+LIST_ANCHOR = r"(?i)(These\s+BMPs\s+include[^\n]*:|These\s+BMPs\s+will[^\n]*:|The\s+BMPs\s+include[^\n]*:)"
+LISTED_NAME = r"^\s*(?:[•\-*]\s+)?[A-Z][A-Za-z0-9 /&()'-]{2,}$"
+ADMINISTRATION = r"(?i)^(total|technical assistance|education and outreach|monitoring|project management)$"
+TABLE_HEAD_NAME = r"(?i)^bmps\*?$"
+
 #: Reason, its flag and weight, in the order in which reasons are listed.
 REASONS: Sequence[tuple[str, str, float]] = (
     ("starts_bad_token", "starts_bad", 2.5),
@@ -141,9 +173,9 @@ def goal_score() -> Column:
 
 def goal_admitted(text: Column) -> Column:
     """A primary phrase, a quantity, or a pollutant with a verb of improvement; headings are not."""
-    heading = text.rlike("(?i)goals?") & ~text.rlike("(?i)(reduce|decrease|improve|achieve|attain|protect|restore)") & (F.size(F.split(text, r"\s+")) < 8)
+    heading = text.rlike(HEADING_WORDS) & ~text.rlike(IMPROVES) & (F.size(F.split(text, r"\s+")) < 8)
     reduction = text.rlike(PERCENT_INLINE) | text.rlike(PERCENT_VERB)
-    verb = text.rlike(POLLUTANTS) & text.rlike("(?i)(reduce|decrease|improve|achieve|attain)")
+    verb = text.rlike(POLLUTANTS) & text.rlike(IMPROVES_POLLUTANT)
     return ~heading & (text.rlike(ADMITTED) | text.rlike(QUANTITATIVE) | reduction | text.rlike(BASELINE_TARGET) | verb)
 
 
@@ -157,8 +189,8 @@ def goals(lined: DataFrame) -> DataFrame:
     clauses = F.flatten(F.transform(joined, ln.clauses))
     tidy = lambda c: F.trim(plain_quotes(c))
     first = F.transform(F.flatten(F.transform(clauses, ln.sentences)), tidy)
-    second = F.transform(F.filter(ln.sentences(F.array_join("lines", " ")), lambda s: s.rlike(r"(?i)\bgoals?\b") & (token_count(s) >= 4)), tidy)
-    third = F.transform(F.filter(F.col("lines"), lambda s: s.rlike(r"(?i)\bgoals?\b") & ~s.rlike(r"(?i)^goals?:?$") & (token_count(s) >= 3)), tidy)
+    second = F.transform(F.filter(ln.sentences(F.array_join("lines", " ")), lambda s: s.rlike(GOAL_WORD) & (token_count(s) >= 4)), tidy)
+    third = F.transform(F.filter(F.col("lines"), lambda s: s.rlike(GOAL_WORD) & ~s.rlike(GOAL_HEADING) & (token_count(s) >= 3)), tidy)
     branch = lambda texts, n: F.transform(texts, lambda s, i: F.struct(F.lit(n).alias("via"), i.alias("pos"), s.alias("title")))
     candidates = lined.select("doc_id", F.explode(F.concat(branch(F.filter(first, lambda s: (s != "") & goal_admitted(s)), 1), branch(second, 2), branch(third, 3))).alias("c")).select("doc_id", "c.*")
     same = Window.partitionBy("doc_id", F.lower("title")).orderBy("via", "pos")
@@ -182,17 +214,6 @@ def classify_primary(found: DataFrame) -> DataFrame:
     return found.withColumn("primary_reason", reason).withColumn("is_primary", reason.isNotNull()).withColumn("confidence", confidence).drop("_any", "_cand", "_rank", "_top")
 
 
-TITLE_NOISE = (
-    r"(?i)^(project\s+goals?\s+goals?/objectives\s+\d+\s+)",
-    r"(?i)^(project\s+goals?\s+objectives?\s+\d+\s+)",
-    r"(?i)^(goals?\s+and\s+objectives?\s+)",
-    r"(?i)^(goals?\s*[:;]\s*)",
-    r"(?i)Goal Who What Where When Contacts",
-    r"(?i)Goals?/Objectives?",
-    r"(?i)^(?:Project\s+)?Goals?\b",
-)
-
-
 def consolidate_goals(found: DataFrame, least_words: int = 8) -> DataFrame:
     """Titles without heading noise, long ones first; short ones and those inside a longer kept one go.
 
@@ -217,35 +238,115 @@ def consolidate_goals(found: DataFrame, least_words: int = 8) -> DataFrame:
     return cleaned.drop("_lower").join(chosen, ["doc_id", "via", "pos"]).withColumn("short_title", short_title(F.col("title")))
 
 
+# A document whose text has a known goal sentence has that goal alone.  Each way to
+# find one has its own confidence and reason.
+
+
 def canonical_goal(raw: Column) -> Column:
     """The sentence of the ultimate goal, from its known start to ``watershed.``, within 1,500 characters; else null."""
-    at = F.locate("the ultimate goal is to bring about", F.lower(raw))
-    window = plain_quotes(F.substring(raw, at, F.lit(1500)))
-    return F.when(at > 0, F.trim(extract(window, r"(?is)^(.*?watershed\.)")))
+    at = F.locate(ULTIMATE, F.lower(raw))
+    window = F.substring(raw, at, F.lit(1500))
+    return F.when(at > 0, F.trim(plain_quotes(extract(window, r"(?is)^(.*?watershed\.)"))))
 
 
-def objective_goal(raw: Column) -> Column:
-    """A sentence that starts with ``goal and objective is to``; it stands for all goals."""
-    return F.trim(F.regexp_replace(extract(raw, r"(?i)((?:The\s+)?goal and objective is to[^.]{10,300}\.)"), r"\s+", " "))
+def known_goal(joined: Column) -> Column:
+    """The whole goal of a plan that is known by its title and its goal's start; else null."""
+    return F.when(joined.rlike(KNOWN_PLAN) & joined.rlike(KNOWN_START), F.trim(extract(plain_quotes(joined), KNOWN_GOAL)))
 
 
 def streamed_goal(raw: Column) -> Column:
     """From the earliest key phrase on, up to ``watershed.`` or the first long sentence; only where a goal breaks off at ``use of``."""
     low = F.lower(raw)
-    keys = ("the ultimate goal", "the overall goal", "the primary goal", "primary goal", "overall goal", "main goal", "goal is to")
-    at = F.least(*[F.nullif(F.locate(k, low), F.lit(0)) for k in keys])
-    broken = raw.rlike(r"(?i)use of\s*(?:\n|$)") & raw.rlike("(?i)The ultimate goal is to bring about") & ~raw.rlike(r"(?i)quality of life in the\s+watershed\.")
+    at = F.least(*[F.nullif(F.locate(k, low), F.lit(0)) for k in STREAM_KEYS])
+    broken = raw.rlike(BROKEN_TEXT) & raw.rlike(ULTIMATE_LINE) & ~raw.rlike(WHOLE_TEXT)
     window = F.trim(plain_quotes(F.substring(raw, at, F.lit(1000))))
     plain = extract(window, r"^(.*?\.)")
     return F.when(broken & at.isNotNull(), F.coalesce(extract(window, r"(?i)^(.*?watershed\.)"), F.when(F.length(plain) >= 40, plain)))
 
 
-def fallback_goal_lines(sections: DataFrame) -> DataFrame:
-    """(doc_id, line, stage) for documents without goals: ``goal:`` lines, else sentences with goal, else semantic phrases."""
-    staged = F.when(F.col("line").rlike(r"(?i)^\s*goal[:\-]|\bgoal:") & F.col("section").isin("Monitoring", "Implementation", "Activities", "BMPs", "Outreach"), 1).when(F.col("line").rlike("(?i)goal"), 2)
-    staged = staged.when((F.col("section") == "uncategorized") & F.col("line").rlike(r"(?i)(ultimate goal|overall goal|primary objective|main objective|intended outcome|mission is to)"), 3)
-    rows = sections.select("doc_id", "line", "section", staged.alias("stage")).where("stage is not null")
-    return rows.withColumn("_least", F.min("stage").over(Window.partitionBy("doc_id"))).where("stage = _least").select("doc_id", "line", "stage")
+def objective_goal(joined: Column) -> Column:
+    """A sentence that starts with ``goal and objective is to``; it stands for all goals that were found."""
+    return F.trim(F.regexp_replace(extract(joined, OBJECTIVE), r"\s+", " "))
+
+
+def repaired_goal(raw: Column) -> Column:
+    """What replaces a single goal that breaks off at ``use of``: the raw sentence of the first key phrase, if it ends in ``watershed.``"""
+    plain = F.regexp_replace(raw, r"\r", "")
+    low = F.lower(plain)
+    at = F.coalesce(*[F.nullif(F.locate(k, low), F.lit(0)) for k in REPAIR_KEYS])
+    sentence = F.trim(plain_quotes(extract(F.substring(plain, at, F.lit(1000)), r"(?s)^(.*?\.)")))
+    return F.when(sentence.rlike("(?i)goal") & sentence.rlike(r"(?i)watershed\."), sentence)
+
+
+def goal_lines(goals: Column, every: Column) -> Column:
+    """The lines that goals are sought in: a goal that breaks off at ``use of`` brings all section lines in, and its rebuilt sentence."""
+    broken = F.exists(goals, lambda x: x.rlike(ULTIMATE_LINE) & F.trim(x).rlike(BROKEN_LINE))
+    text = plain_quotes(F.array_join(every, "\n"))
+    at = F.locate(ULTIMATE, F.lower(text))
+    window = F.substring(text, at, F.lit(600))
+    sentence = F.trim(F.coalesce(extract(window, r"(?i)^(.*?quality of life in the watershed\.)"), extract(window, r"(?i)^(.*?watershed\.)")))
+    rebuilt = (at > 0) & sentence.rlike("(?i)best management practices") & sentence.rlike("(?i)overall quality of life")
+    extra = F.when(rebuilt, F.array(sentence)).otherwise(F.array().cast("array<string>"))
+    return F.when(broken, F.concat(F.array_distinct(F.concat(goals, every)), extra)).otherwise(goals)
+
+
+SOLE = "struct<title:string,confidence:double,reason:string>"
+
+
+def sole(title: Column, confidence: float, reason: str) -> Column:
+    return F.when(title.isNotNull(), F.struct(title.alias("title"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")))
+
+
+def sole_goals(found: DataFrame) -> DataFrame:
+    """(doc_id, sole) as goals: status and pollutant are the only attributes of theirs."""
+    title = F.col("sole.title")
+    attributes = {n: (c if n in ("status", "pollutant") else F.lit(None).cast("double" if n.endswith(("value", "percent")) else "string")) for n, c in goal_attributes(title).items()}
+    return found.where("sole IS NOT NULL").select(
+        "doc_id", F.lit(0).alias("via"), F.lit(0).alias("pos"), title.alias("title"), *[c.alias(n) for n, c in attributes.items()], F.col("sole.confidence").alias("confidence"), F.col("sole.reason").alias("primary_reason"),
+        F.lit(True).alias("is_primary"), F.lit("G1").alias("id"), short_title(title).alias("short_title"),
+    )
+
+
+def extracted_goals(lined: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Goals of (doc_id, lines) by the whole chain: known sentence, broken sentence, admission and consolidation, objective.
+
+    ``write`` cuts the lineage of what several steps read.
+    """
+    joined = F.array_join("lines", "\n")
+    early = F.coalesce(sole(known_goal(joined), 0.65, "early_canonical_dry_creek"), sole(streamed_goal(joined), 0.80, "simple_stream_capture"))
+    lined = write(lined.select("doc_id", "lines", early.alias("sole"), sole(objective_goal(joined), 0.40, "canonical_phrase").alias("objective")), "goal-lines")
+    found = write(goals(lined.where("sole IS NULL").select("doc_id", "lines")), "goals")
+    aims = found.select("doc_id").distinct().join(lined.where("sole IS NULL AND objective IS NOT NULL").select("doc_id", F.col("objective").alias("sole")), "doc_id")
+    rest = consolidate_goals(found.join(aims.select("doc_id"), "doc_id", "left_anti"))
+    return rest.unionByName(sole_goals(lined)).unionByName(sole_goals(aims))
+
+
+def fallback_lines(by_section: Callable[..., Column], every: Column) -> Column:
+    """array<struct<stage, lines>> where goals are sought in a document without: ``goal:`` lines, sentences with goal, phrases of purpose."""
+    anchored = F.filter(by_section(*FALLBACK_SECTIONS), lambda x: x.rlike(ANCHORED_GOAL))
+    parts = lambda lines, pattern: F.transform(F.filter(F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda s: s.rlike(pattern)), lambda s: F.trim(s))
+    stages = (anchored, parts(every, "(?i)goal"), parts(by_section("uncategorized"), SEMANTIC_GOAL))
+    return F.filter(F.array(*[F.struct(F.lit(i + 1).alias("stage"), lines.alias("lines")) for i, lines in enumerate(stages)]), lambda x: F.size(x["lines"]) > 0)
+
+
+def fallback_goals(staged: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(doc_id, stages) of documents without goals: the goals of the first stage that gives any; ``stage`` tells which."""
+    lined = staged.select("doc_id", F.explode("stages").alias("s")).select(F.struct("doc_id", "s.stage").alias("doc_id"), "s.lines")
+    found = write(extracted_goals(lined, write), "fallback-goals")
+    first = found.select("doc_id.*").groupBy("doc_id").agg(F.min("stage").alias("stage"))
+    return found.withColumn("stage", F.col("doc_id.stage")).withColumn("doc_id", F.col("doc_id.doc_id")).join(first, ["doc_id", "stage"], "left_semi")
+
+
+def repair_single(found: DataFrame, repairs: DataFrame) -> DataFrame:
+    """A document's only goal that breaks off at ``use of`` takes the sentence of repairs (doc_id, repair)."""
+    broken = found.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("_broken", (F.col("_n") == 1) & F.col("title").rlike(BROKEN_LINE))
+    j = broken.join(repairs.where("repair IS NOT NULL").select("doc_id", "repair"), "doc_id", "left").withColumn("_hit", F.col("_broken") & F.col("repair").isNotNull())
+    take = lambda new, old: F.when(F.col("_hit"), new).otherwise(F.col(old)).alias(old)
+    changed = {
+        "title": F.col("repair"), "short_title": short_title(F.col("repair")), "confidence": F.greatest(F.col("confidence"), F.lit(0.85)),
+        "primary_reason": F.coalesce("primary_reason", F.lit("raw_stream_fallback")), "is_primary": F.lit(True),
+    }
+    return j.select(*[take(changed[c], c) if c in changed else F.col(c) for c in found.columns])
 
 
 # --- practices ---
@@ -275,19 +376,65 @@ def refine_category(name: Column, category: Column) -> Column:
     return F.coalesce(first_rule(name, REFINED_CATEGORIES, None), category)
 
 
+def refined(found: DataFrame) -> DataFrame:
+    """Practices with finer categories; a change adds 0.1 of confidence and a tag."""
+    category = refine_category(F.col("name"), F.col("category"))
+    changed = category != F.col("category")
+    more, tagged = F.least(F.lit(0.95), F.round(F.coalesce("confidence", F.lit(0.3)) + 0.1, 6)), F.concat_ws("|", "source", F.lit("category_refine"))
+    return found.withColumns({"category": category, "confidence": F.when(changed, more).otherwise(F.col("confidence")), "source": F.when(changed, tagged).otherwise(F.col("source"))})
+
+
 def summary_line_practices(lines: DataFrame, known: DataFrame, fewer_than: int = 3) -> DataFrame:
-    """Documents with few practices get those of lines such as ``Ag BMP $3,803,456``; known ones gain confidence."""
-    few = lines.select("doc_id").distinct().join(known.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").where(F.coalesce("n", F.lit(0)) < fewer_than).select("doc_id")
-    named = lines.join(few, "doc_id", "left_semi").select("doc_id", "pos", F.trim(extract(F.trim("line"), SUMMARY_LINE)).alias("name"), F.trim("line").alias("line")).where("name is not null and lower(name) <> 'total'")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("pos"))).where("_n = 1")
-    first = first.select("doc_id", F.lower("name").alias("_key"), F.col("name").alias("_name"), F.col("line").alias("_line"))
+    """Documents with few practices get those of lines such as ``Ag BMP $3,803,456``, behind their own; known ones gain confidence.
+
+    lines: (doc_id, pos, line) of all sections; known: (doc_id, pos, name, category, confidence, source, …).
+    """
+    enough = known.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= fewer_than).select("doc_id")
+    named = lines.select("doc_id", "pos", F.trim(extract(F.trim("line"), SUMMARY_LINE)).alias("name"), F.trim("line").alias("line")).where("name is not null and lower(name) <> 'total'")
+    named = named.join(enough, "doc_id", "left_anti").groupBy("doc_id", F.lower("name").alias("_key"))
+    first = named.agg(F.min_by(F.struct("pos", "name", "line"), "pos").alias("_first"))
+    first = first.select("doc_id", "_key", F.col("_first.pos").alias("_pos"), F.col("_first.name").alias("_name"), F.concat(F.lit("summary_line:"), F.col("_first.line")).alias("_tag"))
     j = known.withColumn("_key", F.lower("name")).join(first, ["doc_id", "_key"], "full")
-    tag = F.concat(F.lit("summary_line:"), F.col("_line"))
-    new, hit = F.col("name").isNull(), F.col("_name").isNotNull()
-    confidence = F.when(new, 0.25).when(hit, F.least(F.lit(0.9), F.greatest("confidence", F.lit(0.55)))).otherwise(F.col("confidence"))
-    category = F.when(new, last_rule(F.col("_name"), SUMMARY_CATEGORIES, "General")).otherwise(F.col("category"))
-    source = F.when(new, tag).when(hit, F.concat_ws("|", "source", tag)).otherwise(F.col("source"))
-    return j.select("doc_id", F.coalesce("name", "_name").alias("name"), category.alias("category"), F.round(confidence, 6).alias("confidence"), source.alias("source"))
+    new, hit = F.col("name").isNull() & F.col("_name").isNotNull(), F.col("_name").isNotNull()
+    changed = {
+        "pos": F.when(new, F.col("_pos") + F.lit(BEHIND)).otherwise(F.col("pos")).cast(known.schema["pos"].dataType),
+        "name": F.coalesce("name", "_name"), "category": F.when(new, last_rule(F.col("_name"), SUMMARY_CATEGORIES, "General")).otherwise(F.col("category")),
+        "confidence": F.round(F.when(new, 0.25).when(hit, F.least(F.lit(0.9), F.greatest("confidence", F.lit(0.55)))).otherwise(F.col("confidence")), 6),
+        "source": F.when(new, F.col("_tag")).when(hit & ~F.coalesce(F.col("source"), F.lit("")).contains("summary_line:"), F.concat_ws("|", "source", "_tag")).otherwise(F.col("source")),
+    }
+    return j.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in known.columns])
+
+
+#: Places of practices that come from other lines: behind those of the section.
+BEHIND = 1_000_000
+
+
+def injected_cost_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Practices with those of cost rows (doc_id, pattern_id, place, name) that they lack, behind them; heads and administration are left out."""
+    name = F.trim(F.regexp_replace("name", r"\*+$", ""))
+    named = rows.select("doc_id", "pattern_id", "place", name.alias("name")).where((F.col("name") != "") & ~F.col("name").rlike(TABLE_HEAD_NAME) & ~F.col("name").rlike(ADMINISTRATION))
+    first = named.groupBy("doc_id", F.lower("name").alias("_k")).agg(F.min_by(F.struct("name", "pattern_id", "place"), F.struct("place", "name")).alias("f"))
+    new = first.join(known.select("doc_id", F.lower("name").alias("_k")).distinct(), ["doc_id", "_k"], "left_anti").select("doc_id", "f.*")
+    new = new.select("doc_id", (F.col("place") + F.lit(BEHIND // 2)).cast("int").alias("pos"), "name", F.lit("General").alias("category"), F.lit(0.32).alias("confidence"), F.concat_ws(":", F.lit("cost_table_row"), "pattern_id", "name").alias("source"))
+    return known.unionByName(new, allowMissingColumns=True)
+
+
+def both_sources(found: DataFrame) -> DataFrame:
+    """Practices that a cost row and a summary line give have a confidence of 0.6 at least."""
+    both = F.col("source").contains("cost_table_row:") & F.col("source").contains("summary_line:")
+    return found.withColumn("confidence", F.when(both, F.greatest("confidence", F.lit(0.6))).otherwise(F.col("confidence")))
+
+
+def trimmed_names(found: DataFrame) -> DataFrame:
+    """Names without cost tails; where any name of a document was cut, the first of each name stays, case aside."""
+    name = cost_tail_cut(F.col("name"))
+    cut = F.coalesce(name != F.col("name"), F.lit(False))
+    tag = F.lit("name_cost_tail_trim")
+    found = found.withColumn("original_name", F.when(cut, F.col("name"))).withColumn("source", F.when(cut, F.concat_ws("|", "source", tag)).otherwise(F.col("source"))).withColumn("name", name)
+    any_cut = F.max(F.col("original_name").isNotNull()).over(Window.partitionBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("pos"))
+    kept = ~F.col("_any") | ((F.col("_n") == 1) & (F.coalesce(F.col("name"), F.lit("")) != ""))
+    return found.withColumn("_any", any_cut).withColumn("_n", place).where(kept).drop("_any", "_n")
 
 
 def practices_from_costs(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -299,15 +446,14 @@ def practices_from_costs(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def listed_practices(raw: Column) -> Column:
     """Names listed behind ``These BMPs include …:``: capitalised lines up to a total or a sentence, each once."""
-    anchor = r"(?i)(These\s+BMPs\s+include[^\n]*:|These\s+BMPs\s+will[^\n]*:|The\s+BMPs\s+include[^\n]*:)"
-    at = F.regexp_instr(raw, F.lit(anchor))
-    start = at + F.length(F.regexp_extract(raw, anchor, 1))
+    at = F.regexp_instr(raw, F.lit(LIST_ANCHOR))
+    start = at + F.length(F.regexp_extract(raw, LIST_ANCHOR, 1))
     lines = F.filter(F.transform(F.split(F.substring(raw, start, F.lit(1200)), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
 
     def step(a: Column, line: Column) -> Column:
         bare = F.regexp_replace(line, r"[,;:.]+$", "")
-        fits = bare.rlike(r"^\s*(?:[•\-*]\s+)?[A-Z][A-Za-z0-9 /&()'-]{2,}$")
+        fits = bare.rlike(LISTED_NAME)
         name = F.trim(F.regexp_replace(F.regexp_replace(line, r"^[•\-*]\s+", ""), r"[,;:.]+$", ""))
         ends = F.when(fits, name.rlike("(?i)^(?:Total|Summary)$")).otherwise((F.size(a["out"]) > 0) & line.contains("."))
         taken = ~a["done"] & fits & ~ends & (F.size(F.split(name, r"\s+")) <= 12) & ~F.exists(a["out"], lambda x: F.lower(x) == F.lower(name))

@@ -26,22 +26,34 @@ def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.posexplode(F.split(text_col, r"\r?\n")).alias("pos", "line"))
 
 
-def section_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sections array<struct<section, pos, line>>): each non-blank line with the last header before it.
+def sections_of(text: Column) -> Column:
+    """array<struct<section, pos, line>>: each non-blank line with the last header before it.
 
     A header is a line that is a section's name, case aside, with one colon at most.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), trimmed), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), trimmed), lambda x: x != "")
     names = F.create_map(*[F.lit(x) for s in SECTIONS[:-1] for x in (s.lower(), s)])
     longest = max(map(len, SECTIONS[:-1])) + 1
-    start = F.struct(F.lit("uncategorized").alias("now"), F.array().cast("array<struct<section:string,pos:int,line:string>>").alias("out"))
+    header = lambda line: F.when(F.length(line) <= longest, names[F.regexp_replace(F.lower(line), ":$", "")])
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"), header(x).alias("header")))
+
+    def cut(rows: Column) -> Column:
+        """Stretches between headers: few, so that the fold over them stays short whatever the number of lines."""
+        heads = F.filter(rows, lambda r: r["header"].isNotNull())
+        first = F.struct(F.lit(-1).alias("at"), F.lit("").alias("line"), F.lit("uncategorized").alias("header"))
+        starts = F.concat(F.array(first), heads)
+        ends = F.transform(starts, lambda s, i: F.coalesce(F.get(starts, i + 1)["at"], F.size(rows)))
+        # of i headers before a line, its place among the kept lines is its own minus i
+        own = lambda s, i: F.transform(F.slice(rows, s["at"] + 2, F.greatest(F.lit(0), F.get(ends, i) - s["at"] - 1)), lambda r: F.struct(s["header"].alias("section"), (r["at"] - i).alias("pos"), r["line"].alias("line")))
+        return F.flatten(F.transform(starts, own))
 
-    def step(a: Column, line: Column) -> Column:
-        header = F.when(F.length(line) <= longest, names[F.regexp_replace(F.lower(line), ":$", "")])
-        row = F.struct(a["now"].alias("section"), F.size(a["out"]).alias("pos"), line.alias("line"))
-        return F.struct(F.coalesce(header, a["now"]).alias("now"), F.when(header.isNull(), F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
+    # a one-element transform names the marked lines, so that they are computed once
+    return F.get(F.transform(F.array(marked), cut), F.lit(0))
 
-    return docs.select(F.col(id_col), F.aggregate(lines, start, step, lambda a: a["out"]).alias("sections"))
+
+def section_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sections) of every document, see :func:`sections_of`."""
+    return docs.select(F.col(id_col), sections_of(F.col(text_col)).alias("sections"))
 
 
 def section_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,6 +86,13 @@ def cost_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("section", F.when(F.col("line").rlike(HAS_MONEY) | F.col("line").rlike(COST_HEADS), "BMPs").otherwise("uncategorized"))
 
 
+def cost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lines) in the order of the enrichment sectioniser: cost lines first, the others behind them."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), trimmed), lambda x: x != "")
+    cost = lambda x: x.rlike(HAS_MONEY) | x.rlike(COST_HEADS)
+    return docs.select(id_col, F.concat(F.filter(lines, cost), F.filter(lines, lambda x: ~cost(x))).alias("lines"))
+
+
 def density(rows: DataFrame, key: str, order: Sequence[str], test: Column, ahead: int, name: str = "density") -> DataFrame:
     """Adds how many of the row and the ``ahead`` ones behind it pass."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(0, ahead)
@@ -167,6 +186,12 @@ def clauses(line: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array(line))
 
 
+def completed(section: Column, raw: Column) -> Column:
+    """Section lines and behind them the raw ones whose text is not among them, repeats included."""
+    missing = F.array_except(raw, section)  # few: mostly headers
+    return F.concat(section, F.filter(raw, lambda x: F.array_contains(missing, x)))
+
+
 def complete_lines(section: DataFrame, raw: DataFrame, key: str) -> DataFrame:
     """Section lines (key, pos, line) and behind them the raw ones whose text is not among them."""
     known = section.select(key, "line").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import canonical_name
 from siltstone.operators import analytics as an
 from siltstone.operators import cost_engine as ce
 from siltstone.operators import entities as en
@@ -91,11 +92,11 @@ def coverage_by_layer(t: Tables) -> DataFrame:
     return an.layer_coverage(t.customer.select(F.col("c_custkey").alias("k")), {"bronze": orders, "silver": returned}, "k")
 
 
-@query("prefix_semi_join", """WITH a AS (SELECT DISTINCT p_name AS n FROM part WHERE length(p_name) >= 3), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || left(split_part(p_name, ' ', 2), 2) AS n FROM part WHERE p_partkey % 7 = 0)
+@query("prefix_semi_join", """WITH a AS (SELECT DISTINCT p_name AS n FROM part WHERE length(p_name) >= 3), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || left(split_part(p_name, ' ', 2), 2) AS n FROM part)
 SELECT n AS name FROM a WHERE EXISTS (SELECT 1 FROM b WHERE length(b.n) >= 3 AND (starts_with(a.n, b.n) OR starts_with(b.n, a.n)))""")
 def prefix_semi_join(t: Tables) -> DataFrame:
     words = F.split("p_name", " ")
-    short = t.part.where("p_partkey % 7 = 0").select(F.concat_ws(" ", words[0], F.substring(F.get(words, F.lit(1)), 1, 2)).alias("b"))
+    short = t.part.select(F.concat_ws(" ", words[0], F.substring(F.get(words, F.lit(1)), 1, 2)).alias("b"))
     return an.mutual_prefix(t.part.select(F.col("p_name").alias("name")).distinct(), short, "name", "b")
 
 
@@ -218,12 +219,16 @@ def longest_goal(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.max_by("turn", F.struct(words, -F.col("turn"))).alias("turn"))
 
 
-@query("canonical_dedupe", """WITH c AS (SELECT p_brand, p_partkey, p_retailprice, lower(split_part(p_name, ' ', 2)) AS canon FROM part),
-r AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, canon) AS place, row_number() OVER (PARTITION BY p_brand, canon ORDER BY p_retailprice DESC, p_partkey) AS n FROM c)
+@query("canonical_dedupe", r"""WITH c AS (SELECT p_brand, p_partkey, p_retailprice, lower(split_part(p_name, ' ', 2)) AS noun FROM part),
+d AS (SELECT *, CASE WHEN length(noun) + (p_partkey % 3 = 0)::INT > 3 THEN regexp_replace(noun || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END, '([^s])s$', '\1') ELSE noun || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END END AS canon FROM c),
+r AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, canon) AS place, row_number() OVER (PARTITION BY p_brand, canon ORDER BY p_retailprice DESC, p_partkey) AS n FROM d)
 SELECT p_brand, p_partkey, place FROM r WHERE n = 1""")
 def canonical_dedupe(t: Tables) -> DataFrame:
-    rows = t.part.select("p_brand", "p_partkey", "p_retailprice", F.get(F.split("p_name", " "), F.lit(1)).alias("noun"))
-    return an.canonical_dedupe(rows, "p_brand", F.lower("noun"), "p_retailprice", "p_partkey").select("p_brand", "p_partkey", "place")
+    """Names that differ by case, a plural s or an end mark are one."""
+    noun = F.get(F.split("p_name", " "), F.lit(1))
+    written = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper(noun)).otherwise(noun), F.when(F.col("p_partkey") % 3 == 0, F.lit("s")).when(F.col("p_partkey") % 3 == 1, F.lit(",")).otherwise(F.lit("")))
+    rows = t.part.select("p_brand", "p_partkey", "p_retailprice", written.alias("noun"))
+    return an.canonical_dedupe(rows, "p_brand", canonical_name(F.col("noun")), "p_retailprice", "p_partkey").select("p_brand", "p_partkey", "place")
 
 
 @query("prf1", """WITH g AS (SELECT DISTINCT doc_id % 10 AS k, doc_id FROM labels WHERE quality = 0), f AS (SELECT DISTINCT doc_id % 10 AS k, doc_id FROM labels WHERE toxic = 1),
@@ -246,14 +251,14 @@ def metric_value_accuracy(t: Tables) -> DataFrame:
 
 
 @query("list_accuracy", """WITH g AS (SELECT s_nationkey AS k, floor(s_acctbal / 1000) AS x, row_number() OVER (PARTITION BY s_nationkey, floor(s_acctbal / 1000)) AS n FROM supplier),
-f AS (SELECT c_nationkey AS k, floor(c_acctbal / 1000) AS x, row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal / 1000)) AS n FROM customer WHERE c_custkey % 9 = 0),
+f AS (SELECT c_nationkey AS k, floor(c_acctbal / 1000) AS x, row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal / 1000)) AS n FROM customer),
 j AS (SELECT coalesce(g.k, f.k) AS k, count(g.n) AS gold, count(f.n) AS found, count(*) FILTER (g.n IS NOT NULL AND f.n IS NOT NULL) AS matched FROM g FULL JOIN f ON g.k = f.k AND g.x = f.x AND g.n = f.n GROUP BY 1)
 SELECT k, gold::BIGINT AS gold, found::BIGINT AS found, matched::BIGINT AS matched, round(CASE WHEN gold > 0 THEN matched / gold ELSE 1 END, 6)::DOUBLE AS accuracy, round(CASE WHEN found > 0 THEN (found - matched) / found ELSE 0 END, 6)::DOUBLE AS false_positive_rate,
   CASE WHEN gold > 0 THEN matched / gold ELSE 1 END >= 0.9 AND found = matched AS passed FROM j""")
 def list_accuracy(t: Tables) -> DataFrame:
     bin_of = lambda c: F.floor(F.col(c) / 1000)
     gold = t.supplier.select(F.col("s_nationkey").alias("k"), bin_of("s_acctbal").alias("x"))
-    found = t.customer.where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("k"), bin_of("c_acctbal").alias("x"))
+    found = t.customer.select(F.col("c_nationkey").alias("k"), bin_of("c_acctbal").alias("x"))
     return an.list_accuracy(gold, found, "k", "x")
 
 
@@ -265,13 +270,13 @@ def filter_impact_diff(t: Tables) -> DataFrame:
     return an.impact(base, kept, "f")
 
 
-@query("csv_export", """SELECT 'Goals' AS "Section", 'G' || row_number() OVER (ORDER BY s_suppkey) AS "ID", replace(s_name, ',', ' ') AS "Field1", CAST(s_nationkey AS VARCHAR) AS "Field2", '' AS "Field3" FROM supplier
-UNION ALL SELECT 'BMPs', 'B' || row_number() OVER (ORDER BY n_nationkey), replace(n_name, ',', ' '), CAST(n_regionkey AS VARCHAR), '' FROM nation""")
+@query("csv_export", """SELECT 'Goals' AS "Section", 'G' || row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS "ID", replace(s_name, ',', ' ') AS "Field1", CAST(s_nationkey AS VARCHAR) AS "Field2", '' AS "Field3" FROM supplier
+UNION ALL SELECT 'BMPs', 'B' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), replace(n_name, ',', ' '), CAST(n_regionkey AS VARCHAR), '' FROM nation""")
 def csv_export(t: Tables) -> DataFrame:
     from siltstone.sources.sinks import csv_rows
 
-    goals = t.supplier.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("text"), F.col("s_nationkey").cast("string").alias("more"), F.lit(0).alias("doc_id"))
-    bmps = t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text"), F.col("n_regionkey").cast("string").alias("more"), F.lit(0).alias("doc_id"))
+    goals = t.supplier.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("text"), F.col("s_nationkey").cast("string").alias("more"), F.col("s_nationkey").alias("doc_id"))
+    bmps = t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text"), F.col("n_regionkey").cast("string").alias("more"), F.col("n_regionkey").alias("doc_id"))
     return csv_rows(goals, bmps).select("Section", "ID", "Field1", "Field2", "Field3")
 
 

@@ -98,11 +98,11 @@ def goal_attributes(t: Tables) -> DataFrame:
     return found.select("o_orderkey", "pollutant", "reduction_percent", "baseline_value", "target_value", "deadline_year", "deadline", "responsible", "status", en.goal_score().alias("confidence"))
 
 
-@query("goal_pipeline", """SELECT o_orderkey AS doc_id, 1::BIGINT AS goals, 1::BIGINT AS primaries, 0.95::DOUBLE AS best FROM orders WHERE o_orderkey % 10 = 1""")
+@query("goal_pipeline", """SELECT o_orderkey AS doc_id, 1::BIGINT AS goals, 1::BIGINT AS primaries, 0.95::DOUBLE AS best FROM orders""")
 def goal_pipeline(t: Tables) -> DataFrame:
     """From text to ranked goals: a heading, prose, and one goal in each document."""
     text = F.concat_ws("\n", F.lit("Introduction"), F.lit("Nothing of note here."), goal_sentence(), F.lit("Appendix."))
-    docs = t.orders.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
     found = en.consolidate_goals(en.goals(ce.document_lines(docs)))
     return found.groupBy("doc_id").agg(F.count("*").alias("goals"), an.count_if(F.col("is_primary")).alias("primaries"), F.max("confidence").alias("best"))
 
@@ -192,7 +192,7 @@ def presence_guard(t: Tables) -> DataFrame:
 @query("summary_line_practices", """SELECT s_suppkey AS doc_id, 'Agric Supply' AS name, 'Agriculture' AS category, 0.25::DOUBLE AS confidence FROM supplier UNION ALL SELECT s_suppkey, 'Cover Crop', 'Vegetative', 0.55 FROM supplier""")
 def summary_line_practices(t: Tables) -> DataFrame:
     lines = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.posexplode(F.array(F.lit("Agric Supply $3,456"), F.lit("Cover Crop $12,000"), F.lit("Total $99,000"), F.lit("no amount"))).alias("pos", "line"))
-    known = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.lit("Cover Crop").alias("name"), F.lit("Vegetative").alias("category"), F.lit(0.4).alias("confidence"), F.lit("x").alias("source"))
+    known = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("pos"), F.lit("Cover Crop").alias("name"), F.lit("Vegetative").alias("category"), F.lit(0.4).alias("confidence"), F.lit("x").alias("source"))
     return en.summary_line_practices(lines, known).select("doc_id", "name", "category", "confidence")
 
 
@@ -239,10 +239,10 @@ def cost_tail_trim(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.cost_tail_cut(F.concat("p_name", tail)).alias("name"))
 
 
-@query("compact_money", """SELECT o_orderkey, '$' || printf('%.1f', round(o_totalprice / 1000, 1)) || 'K' AS shown FROM orders WHERE o_totalprice BETWEEN 1000 AND 999949 AND round(o_totalprice * 100)::BIGINT % 10000 <> 5000""")
+@query("compact_money", """WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders)
+SELECT o_orderkey, '$' || CASE WHEN c >= 100000000 THEN ((c + 5000000) // 10000000) // 10 || '.' || ((c + 5000000) // 10000000) % 10 || 'M' WHEN c >= 100000 THEN ((c + 5000) // 10000) // 10 || '.' || ((c + 5000) // 10000) % 10 || 'K' ELSE ((c + 50) // 100) || '' END AS shown FROM c""")
 def compact_money(t: Tables) -> DataFrame:
-    plain = t.orders.where((F.col("o_totalprice").between(1000, 999949)) & (F.round(F.col("o_totalprice") * 100).cast("long") % 10000 != 5000))
-    return plain.select("o_orderkey", tx.compact_money(F.col("o_totalprice")).alias("shown"))
+    return t.orders.select("o_orderkey", tx.compact_money(F.col("o_totalprice")).alias("shown"))
 
 
 @query("short_titles", """SELECT doc_id, CASE WHEN length(text) <= 140 THEN text ELSE array_to_string(regexp_split_to_array(text, '\\s+')[1:14], ' ') || '…' END AS title FROM documents""")
@@ -250,13 +250,11 @@ def short_titles(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.short_title(F.col("text")).alias("title"))
 
 
-@query("slugify_collisions", """WITH b AS (SELECT page_id, left(trim(regexp_replace(lower(split_part(url, '?', 1)), '[^a-z0-9]+', '-', 'g'), '-'), 30) AS b FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page_id) AS n FROM b)
-SELECT page_id, CASE WHEN n > 1 THEN b || '-' || n ELSE b END AS slug FROM n""")
+@query("slugify_collisions", """WITH b AS (SELECT page_id, coalesce(nullif(trim(left(trim(regexp_replace(lower(split_part(url, '?', 1)), '[^a-z0-9]+', '-', 'g'), '-'), 30), '-'), ''), 'document') AS b FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page_id) AS n FROM b)
+SELECT page_id, CASE WHEN n > 50 THEN b || '-' || left(sha1(b || '-' || page_id), 8) WHEN n > 1 THEN b || '-' || n ELSE b END AS slug FROM n""")
 def slugify_collisions(t: Tables) -> DataFrame:
     short = t.pages.select("page_id", F.substring(tx.slug(F.get(F.split("url", r"\?"), F.lit(0))), 1, 30).alias("name"))
-    numbered = an.Window.partitionBy("name").orderBy("page_id")
-    n = F.row_number().over(numbered)
-    return short.select("page_id", F.when(n > 1, F.concat_ws("-", "name", n.cast("string"))).otherwise(F.col("name")).alias("slug"))
+    return src.unique_slugs(short, "name", "page_id").select("page_id", "slug")
 
 
 @query("file_slugs", """SELECT p_partkey, p_partkey || '-' || replace(p_name, ' ', '-') || '-plan' AS slug, 'plan-' || p_partkey AS family FROM part""")
@@ -270,9 +268,9 @@ def link_crawl(t: Tables) -> DataFrame:
     return src.links(t.pages, "/[A-Za-z]")
 
 
-@query("year_alias", """SELECT p_partkey AS k, 'doc-n' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-2017' END AS file FROM part WHERE p_partkey % 10 < 2""")
+@query("year_alias", """SELECT p_partkey AS k, 'doc-n' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-2017' END AS file FROM part""")
 def year_alias(t: Tables) -> DataFrame:
-    ids = t.part.where("p_partkey % 10 < 2").select(F.col("p_partkey").alias("k"), F.format_string("doc-n%d", "p_partkey").alias("id"))
+    ids = t.part.select(F.col("p_partkey").alias("k"), F.format_string("doc-n%d", "p_partkey").alias("id"))
     own = ids.where("k % 2 = 0").select(F.col("id").alias("file"), F.lit(1).alias("size"))
     dated = ids.select(F.concat("id", F.lit("-2015")).alias("file"), F.lit(5).alias("size")).unionAll(ids.select(F.concat("id", F.lit("-2017")).alias("file"), F.lit(9).alias("size")))
     return ids.join(src.year_alias(ids.select("id"), own.unionAll(dated)), "id").select("k", "file")

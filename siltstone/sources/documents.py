@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from siltstone.operators.lines import reassemble
 
 #: The names under which documents hold their text; the first that is there counts.
 TEXT_FIELDS = ("rawText", "text", "raw_text", "content", "body", "fullText", "data")
+#: The text that stands for a file whose parsing is skipped.
+SKIPPED_TEXT = "Parsing skipped."
 BRONZE = "id string, slug string, part int, source string, length bigint, " + ", ".join(f"{f} string" for f in TEXT_FIELDS) + ", metadata struct<id:string,originalName:string,size:bigint,uploadedAt:string,pageCount:int>, _corrupt_record string"
 
 
@@ -54,6 +58,36 @@ def gold_labels(reports: DataFrame) -> DataFrame:
     return found
 
 
+def parsed_or_quarantined(files: DataFrame, parsers: Sequence[Callable[[Column], Column]]) -> tuple[DataFrame, DataFrame]:
+    """(parsed, quarantined) of (path, content): the first parser that gives a text counts.
+
+    A parser maps the content to struct<text, pages, error>; a row whose parsers all
+    fail goes to quarantine with every error, and a text of blanks is ``empty-text``.
+    """
+    tried = files.select("path", F.array(*[parse(F.col("content")) for parse in parsers]).alias("_t"))
+    good = F.filter("_t", lambda x: x["error"].isNull() & x["text"].isNotNull())
+    tried = tried.withColumn("_g", F.get(good, F.lit(0)))
+    empty = F.trim(F.col("_g.text")) == ""
+    error = F.when(F.col("_g").isNull(), F.array_join(F.transform("_t", lambda x: F.coalesce(x["error"], F.lit("no text"))), "; ")).when(empty, F.lit("empty-text"))
+    tried = tried.withColumn("error", error)
+    return tried.where("error IS NULL").select("path", "_g.text", "_g.pages"), tried.where("error IS NOT NULL").select("path", "error")
+
+
+def uploads(files: DataFrame, extension: str = ".pdf", skip_parse: bool = False) -> DataFrame:
+    """Files that an upload accepts, with their name; with ``skip_parse`` a fixed text and no pages stand for the content."""
+    named = files.where(F.lower("path").endswith(extension)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    return named.select("path", "name", F.lit(SKIPPED_TEXT).alias("text"), F.lit(0).alias("pages")) if skip_parse else named
+
+
+def stored_metric(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A metric table that an audit wrote, or None where none was written."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.schema(schema).json(path)
+
+
 def page_lines(items: DataFrame) -> DataFrame:
     """(doc_id, text) from text items (doc_id, page, seq, x, y, text): lines by rounded height, top down, left to right."""
     placed = items.where(F.trim("text") != "").withColumn("_row", F.floor(F.col("y") + 0.5))
@@ -71,15 +105,23 @@ def links(pages: DataFrame, target: str = r"\.pdf") -> DataFrame:
     return pages.select(F.explode(found).alias("link")).distinct()
 
 
-def unique_slugs(names: DataFrame, name: str, order: Column, existing: DataFrame | None = None) -> DataFrame:
-    """Adds ``slug``; later ones of equal slug get -2, -3, …, counting those that exist already."""
+def unique_slugs(names: DataFrame, name: str, order: str, existing: DataFrame | None = None, numbered: int = 50) -> DataFrame:
+    """Adds ``slug``; later ones of equal slug get -2 to -50, counting those that exist already, and behind them eight hexadecimal digits.
+
+    ``order`` is a unique column.  Only the first ranks are numbered, which Spark
+    cuts down before the shuffle: a very common slug is no heavy task.
+    """
     base = names.withColumn("_b", slug(F.col(name)))
-    n = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    taken = F.lit(0)
     if existing is not None:
-        taken = existing.select(F.regexp_replace("slug", r"-\d+$", "").alias("_b")).groupBy("_b").agg(F.count("*").alias("_taken"))
-        base = base.join(taken, "_b", "left")
-        n = n + F.coalesce("_taken", F.lit(0))
-    return base.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") > 1, F.concat_ws("-", "_b", F.col("_n").cast("string"))).otherwise(F.col("_b"))).drop("_b", "_n", "_taken")
+        known = existing.select(F.regexp_replace("slug", r"-\d+$", "").alias("_b")).groupBy("_b").agg(F.count("*").alias("_taken"))
+        base, taken = base.join(known, "_b", "left"), F.coalesce("_taken", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    first = base.select("_b", order).withColumn("_n", rank).where(F.col("_n") <= numbered)
+    base = base.join(first, ["_b", order], "left").withColumn("_n", F.col("_n") + taken)
+    late = F.substring(F.sha1(F.concat_ws("-", "_b", F.col(order).cast("string")).cast("binary")), 1, 8)
+    suffix = F.when(F.coalesce("_n", F.lit(numbered + 1)) > numbered, late).when(F.col("_n") > 1, F.col("_n").cast("string"))
+    return base.withColumn("slug", F.concat_ws("-", "_b", suffix)).drop("_b", "_n", "_taken")
 
 
 def year_alias(wanted: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_paths: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -19,7 +21,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="siltstone-"))
         known = "file://" + _local[0]
-    return f"{known.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{known.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes what this driver has written, as far as its session still lives."""
+    for spark, path in _paths:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone already
+            return
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

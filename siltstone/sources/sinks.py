@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,69 @@ def newest(copies: DataFrame, key: str, time: str = "modificationTime") -> DataF
     """Of several copies of a key the newest."""
     rest = [c for c in copies.columns if c != key]
     return copies.groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("r")).select(key, "r.*")
+
+
+def write_bronze(documents: DataFrame, path: str, day: Column | None = None) -> None:
+    """Appends documents, by day of ingest."""
+    documents.withColumn("ingest_date", day if day is not None else F.current_date()).write.mode("append").partitionBy("ingest_date").parquet(path)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a versioned table's versions that were written to the end, ascending."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(root)]
+    return sorted(int(x[8:]) for x in found if x.startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS")))
+
+
+def read_current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest (or a given) version of a versioned table; earlier ones are its backups."""
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        return None
+    return spark.read.parquet(f"{path}/version={version if version is not None else known[-1]}")
+
+
+def upsert(changes: DataFrame, path: str, key: str) -> DataFrame:
+    """Writes a new version in which the changed keys' rows are replaced.
+
+    The version before stays as it was: a write that fails, or a reader that is
+    under way, does no harm.
+    """
+    spark = changes.sparkSession
+    known = versions(spark, path)
+    current = read_current(spark, path)
+    whole = changes if current is None else upserted(current, changes, key)
+    number = known[-1] + 1 if known else 0
+    whole.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return spark.read.parquet(f"{path}/version={number}")
+
+
+def sheets(report: dict[str, DataFrame], metadata: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
+    """The eight sheets of a report's export: two of keys and values, six of rows.
+
+    metadata has one row; so has summary, whose ``categories`` map becomes ``bmpCategories.<name>`` keys.
+    """
+    pairs = lambda d, names: d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names])).alias("p")).select("p.*")
+    plain = [c for c in summary.columns if c != "categories"]
+    flat = summary.select(F.explode("categories").alias("k", "v")).select(F.concat(F.lit("bmpCategories."), "k").alias("key"), F.col("v").cast("string").alias("value")) if "categories" in summary.columns else None
+    pick = lambda name, columns: report[name].select(*[F.col(c) if c in report[name].columns else F.lit(None).cast("string").alias(c) for c in columns])
+    return {
+        "Metadata": pairs(metadata, metadata.columns),
+        "Summary": pairs(summary, plain).unionByName(flat) if flat is not None else pairs(summary, plain),
+        "Goals": pick("goals", ["id", "title", "status", "pollutant", "reduction_percent", "baseline_value", "target_value", "unit", "deadline", "confidence"]),
+        "BMPs": pick("practices", ["id", "name", "category", "quantity", "unit", "verb", "confidence"]),
+        "Implementation": pick("implementation", ["id", "description", "date", "target", "achieved"]),
+        "Monitoring": pick("monitoring", ["id", "metric", "source"]),
+        "Outreach": pick("outreach", ["id", "activity", "audience", "source"]),
+        "Geography": pick("geography", ["id", "area", "source"]),
+    }
+
+
+def accuracy_export(panel: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row's provenance (kind, id, text, source, confidence) as JSON behind the panel's metrics, in one table (part, payload)."""
+    as_json = lambda d, part: d.select(F.lit(part).alias("part"), F.to_json(F.struct(*[F.col(c) for c in d.columns])).alias("payload"))
+    return as_json(panel, "metrics").unionByName(as_json(rows, "row"))

@@ -12,9 +12,9 @@ from pyspark.sql.types import StructType
 from siltstone.sources.shared import shared_path
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, process: Callable[[DataFrame, int], None], checkpoint: str, *, files_per_batch: int = 5) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, schema: StructType, process: Callable[[DataFrame, int], None], checkpoint: str, *, files_per_batch: int = 5, glob: str = "*") -> StreamingQuery:
     """Processes every file of a folder that the checkpoint has not seen, some at a time, and ends."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -31,8 +31,7 @@ def run_to_end(spark: SparkSession, file: str, schema: StructType) -> DataFrame:
     def process(batch: DataFrame, number: int) -> None:
         totals_by_type(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 5)
-    stream.parquet(folder).writeStream.foreachBatch(process).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    ingest(spark, folder, schema, process, f"{work}/state", glob=name).awaitTermination()
     return spark.read.parquet(sink)
 
 
@@ -42,5 +41,21 @@ def running_pattern_usage(tables: DataFrame) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Rows whose (file, ts) was not seen within the watermark."""
+    """Rows whose event_id was not seen within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def reconciled(wanted: DataFrame, state: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(open, stale): wanted rows that the state does not have as done, and state rows that are no longer wanted."""
+    done = state.where("status = 'ok'").select(key)
+    return wanted.join(done, key, "left_anti"), state.join(wanted.select(key), key, "left_anti")
+
+
+def to_rerun(state: DataFrame, most_tries: int = 3) -> DataFrame:
+    """Rows whose last try failed and that have tries left."""
+    return state.where((F.col("status") == "error") & (F.col("tries") < most_tries))
+
+
+def without_output(wanted: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """Rows whose output does not exist yet."""
+    return wanted.join(outputs.select(key), key, "left_anti")

@@ -42,7 +42,7 @@ def test_reports_logs_and_labels(spark, tmp_path):
 def test_slugs(spark):
     rows = spark.createDataFrame([(1, "A Plan!"), (2, "a plan"), (3, "!!!"), (4, "A-Plan")], "n int, name string")
     known = spark.createDataFrame([("document",)], "slug string")
-    got = [r["slug"] for r in src.unique_slugs(rows, "name", F.col("n"), known).orderBy("n").collect()]
+    got = [r["slug"] for r in src.unique_slugs(rows, "name", "n", known).orderBy("n").collect()]
     assert got == ["a-plan", "a-plan-2", "document-2", "a-plan-3"]
 
 
