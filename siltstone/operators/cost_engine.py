@@ -88,6 +88,7 @@ class Pattern:
     match_reported: Callable[[Column, Column, Column, Column], Column] | None = None
     computed_zero_is_null: bool = False
     min_rows: int = 1
+    stop_at_two_blanks: bool = False
     measures: tuple[str, ...] = field(default=())
 
 
@@ -138,9 +139,9 @@ def blank(line: Column) -> Column:
     return line.rlike(BLANK)
 
 
-def _tail_item(strip: str) -> Line:
+def _tail_item(strip: str, put: str = "") -> Line:
     def row(line: Column) -> Column:
-        name = F.regexp_replace(trimmed(F.regexp_extract(line, TAIL_ROW, 1)), strip, "")
+        name = F.regexp_replace(trimmed(F.regexp_extract(line, TAIL_ROW, 1)), strip, put)
         return F.when(line.rlike(TAIL_ROW) & (name != ""), row_struct(name=name, total_cost=money(F.regexp_extract(line, TAIL_ROW, 2)), raw_cost=F.regexp_extract(line, TAIL_ROW, 2)))
 
     return row
@@ -362,8 +363,8 @@ def _either(*heads: Callable[[Column, Column], Column]) -> Callable[[Column, Col
 
 
 PATTERNS: Sequence[Pattern] = (
-    Pattern("sparse_inline_costs", 0.45, lambda lines, i: dollar(F.get(lines, i)) & single_amount(F.get(lines, i)) & (count_ahead(lines, i, 0, 70, single_amount) >= 5), 140, _sparse_row, first=0, min_rows=5),
-    Pattern("narrative_cost_block", 0.55, lambda lines, i: dollar(F.get(lines, i)) & ~F.get(lines, i).rlike(r"(?i)Practice\s+Producer\s+NRCS|Activity\s+Size|Practice\s+Average\s+Unit") & (run_ahead(lines, i, 12, dollar) >= 4), 40, _tail_item(r"^[\-•]+\s*"), first=0, stop=lambda x: blank(x) | ~dollar(x), min_rows=4),
+    Pattern("sparse_inline_costs", 0.45, lambda lines, i: dollar(F.get(lines, i)) & single_amount(F.get(lines, i)) & (count_ahead(lines, i, 0, 70, single_amount) >= 5), 140, _sparse_row, first=0, min_rows=5, stop_at_two_blanks=True),
+    Pattern("narrative_cost_block", 0.55, lambda lines, i: dollar(F.get(lines, i)) & ~F.get(lines, i).rlike(r"(?i)Practice\s+Producer\s+NRCS|Activity\s+Size|Practice\s+Average\s+Unit") & (run_ahead(lines, i, 12, dollar) >= 4), 40, _tail_item(r"^([^\-•]*)[\-•]+\s*", "$1"), first=0, stop=lambda x: blank(x) | ~dollar(x), min_rows=4),
     Pattern("coded_activity_budget_loose", 0.68, _dense(CODED_HEAD, 1, 14, 2), 160, lambda x: F.lit(None), first=0, stop=lambda x: blank(x) | x.rlike(r"(?i)^(?:Goal|Objective|Section|Table)\b"), rows=_coded_rows, min_rows=5),
     Pattern(
         "practice_unit_cost_range", 0.78, _either(lambda lines, i: F.get(lines, i).rlike(r"(?i)Practice\s+Unit\s+Cost") & F.get(lines, i).rlike(r"(?i)Number\s+of\s+Units") & F.get(lines, i).rlike(r"(?i)Total\s+Cost"), _dense(RANGE_HEAD, 1, 15, 2)), 119, _range_row(PRACTICE_UNITS),
@@ -420,6 +421,9 @@ def _parsed(found: DataFrame, p: Pattern) -> DataFrame:
         window = F.slice(lines, at + 1 + p.first, F.lit(p.reach))
     found = found.withColumn("_w", window).withColumn("_head", head)
     stop_at = first_index(F.col("_w"), p.stop) if p.stop else F.lit(0)
+    if p.stop_at_two_blanks:
+        pairs = F.transform("_w", lambda x, i: (x == "") & (F.coalesce(F.get("_w", i + 1), F.lit("-")) == ""))
+        stop_at = F.coalesce(F.array_position(pairs, True), F.lit(0)).cast("int")
     found = found.withColumn("_stop", stop_at)
     body = F.when(F.col("_stop") > 0, F.slice("_w", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_w"))
     if p.backward:

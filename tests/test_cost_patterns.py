@@ -72,3 +72,16 @@ def test_merge_and_overlap(found):
         by_doc[r["doc_id"]].append((r["span_start"], r["span_end"]))
     rows = ce.cost_rows(found).where("pattern_id = 'multi_funding_source_costs'").collect()
     assert all(abs(r["pct_producer"] + r["pct_nrcs"] + r["pct_other"] - 1) < 1e-9 for r in rows)
+
+
+def test_names_lose_the_first_run_of_marks_only(spark):
+    lines = ["- Fence-line work $100.00", "Stream • bank repair $200.00", "Cover - crop - seed $300.00", "Plain $400.00"]
+    found = ce.tables_of(spark.createDataFrame([("d", lines)], "doc_id string, lines array<string>"), next(p for p in ce.PATTERNS if p.id == "narrative_cost_block")).orderBy("span_start").first()
+    assert [r["name"] for r in found["rows"]] == ["Fence-line work", "Stream bank repair", "Cover crop - seed", "Plain"]
+
+
+def test_sparse_costs_end_at_two_blank_lines(spark):
+    paid = [f"Work number {x} on the creek ${n}00.00" for n, x in enumerate("abcdefgh", 1)]
+    lines = [*paid[:3], "", *paid[3:6], "", "", *paid[6:]]
+    found = ce.tables_of(spark.createDataFrame([("d", lines)], "doc_id string, lines array<string>"), next(p for p in ce.PATTERNS if p.id == "sparse_inline_costs")).orderBy("span_start").first()
+    assert len(found["rows"]) == 6 and found["total_computed"] == 2100
