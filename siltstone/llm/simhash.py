@@ -21,6 +21,7 @@ but never names a component, unless all ids of the component are null.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -77,7 +78,7 @@ def shingles(text: bytes, width: int) -> list[bytes]:
 
 
 def fingerprint_texts(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """64-bit SimHash of each text (uint64); bounded memory for any text length."""
+    """64-bit SimHash of each text (uint64); memory in proportion to the longest text, its shingles' bits are held in pieces."""
     counts = np.zeros((len(texts), 64), dtype=np.int64)
     sizes = np.zeros(len(texts), dtype=np.int64)
     hashes: list[int] = []
@@ -242,10 +243,12 @@ def needed(size: int | np.ndarray, threshold: float) -> np.ndarray:
 
 
 def prefixes(table: DataFrame, threshold: float) -> DataFrame:
-    """(row, n, last, prefix): the first n - needed(n) + 1 shingles of each set in a global order, and the last one's place.
+    """(row, n, weight, keys, prefix): the first n - needed(n) + 1 shingles of each set in a global order.
 
     The order is by hash, with frequent shingles last, by their number in an
     eighth of the rows.  Any order finds the same pairs; this one keeps lists short.
+    ``weight`` is the mean of these numbers: among copies of a text, the one with
+    the fewest changes of its own has the most.
     """
     counted = table.where(F.pmod(F.xxhash64("row"), F.lit(8)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     often = counted.where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
@@ -258,60 +261,73 @@ def prefixes(table: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-            place = flat.astype(np.int64)
+            place, often = flat.astype(np.int64), np.zeros(len(flat), dtype=np.int64)
             if len(known):
                 found = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                place |= np.where(known[found] == flat, times[found], 0) << 32
+                often = np.where(known[found] == flat, times[found], 0)
+                place |= often << 32
             owner = np.repeat(np.arange(len(n)), n)
+            weight = np.bincount(owner, weights=often, minlength=len(n)) / np.maximum(n, 1)
             place = place[np.lexsort((place, owner))]
             kept = np.where(n > 0, n - needed(n, threshold) + 1, 0)
             starts = np.cumsum(n) - n
             inside = np.arange(len(place)) - starts[owner] < kept[owner]
-            last = np.where(n > 0, place[np.minimum(starts + kept - 1, len(place) - 1)], -1) if len(place) else np.full(len(n), -1)
             first = pa.array((place[inside] & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(last, pa.int64()), lists], names=["row", "n", "last", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight, pa.float64()), batch.column(3), lists], names=["row", "n", "weight", "keys", "prefix"])
 
     small_batches(table.sparkSession)
-    return table.select("row", "n", "shingles").mapInArrow(run, "row long, n int, last long, prefix array<int>")
+    return table.select("row", "n", "shingles", "keys").mapInArrow(run, "row long, n int, weight double, keys array<long>, prefix array<int>")
 
 
-def _contracted(table: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """(node, root): components of verified links between each node and one node of its min-hash pairs.
+def _contracted(first: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): components of verified links between each node and the weightiest nodes of its min-hash pairs.
 
     It need not find all links: it makes large groups one component, so that
-    their pairs need no comparison.
+    their pairs need no comparison.  The weightiest of a group of copies has the
+    fewest changes of its own, hence most of the others within the likeness.
     """
-    keyed = table.select("row", "keys").join(heads, "row", "left_semi").select("row", F.posexplode("keys").alias("at", "key"))
-    keyed = materialize(keyed, "near-keys")
-    groups = keyed.groupBy("at", "key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(groups, ["at", "key"]).where("row != a").groupBy("a", F.col("row").alias("b")).agg(F.count("*").alias("n"))
-    pairs = materialize(met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "near-first")
+    keyed = first.select("row", "weight", F.posexplode("keys").alias("at", "key"))
+    groups = keyed.groupBy("at", "key").agg(F.max_by("row", F.struct("weight", -F.col("row"))).alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = materialize(keyed.join(groups, ["at", "key"]).where("row != a").select("a", F.col("row").alias("b")).distinct(), "near-first")
     return components.connected(_alike(pairs, table, threshold))
 
 
+STEP = 1.025  # ratio of neighbouring size classes
+
+
 def _candidates(first: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of nodes in different components that can have the likeness, by exact bounds only.
 
-    first: the rows of :func:`prefixes`; nodes: (row, root).  Two alike sets share
-    a prefix element.  Shared elements up to the lesser of the two last places are
-    in both prefixes; of those after it there are at most needed(n) - 1.
+    first: the nodes' rows of :func:`prefixes`; nodes: (row, root).  Take the first
+    element in the global order that two alike sets of x and y elements share, at
+    places i and j.  All that they share lies from there on, so x - i and y - j
+    are at least what they must share, t / (1 + t) (x + y): each entry of a list
+    knows ``most``, the largest partner that its place allows.  The smaller set
+    of a pair can allow one of its own size, which leaves it about a ninth of its
+    elements; the larger one looks the smaller up by element and class of size.
     """
-    lists = first.select(F.explode("prefix").alias("key"), "row")
-    lists = lists.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "row")
-    lists = materialize(materialize(lists, "near-lists").join(nodes, "row"), "near-list-roots")
-    # pairs are made between the components of a list, never inside one
-    groups = materialize(lists.groupBy("key", "root").agg(F.collect_list("row").alias("rows")), "near-list-groups")
-    several = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    groups = materialize(groups.join(several, "key", "left_semi"), "near-list-several")
-    other = groups.select("key", F.col("root").alias("root_b"), F.col("rows").alias("rows_b"))
-    met = groups.join(other, "key").where("root < root_b").select(F.explode("rows").alias("x"), "rows_b").select("x", F.explode("rows_b").alias("y"))
-    met = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("c"))
-    sized = lambda c: first.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("last").alias(f"last_{c}"))
-    met = materialize(met, "near-met").join(sized("a"), "a").join(sized("b"), "b")
-    left = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    most = F.least(F.col("c") + F.ceil(threshold * left - 1e-9) - 1, "n_a", "n_b")
-    return met.where(most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+    lists = first.select("row", "n", F.posexplode("prefix").alias("pos", "key"))
+    most = (F.floor((F.col("n") - F.col("pos")) * ((1 + threshold) / threshold) + 1e-6) - F.col("n")).cast("long")
+    # three narrow columns move, once: the lists and their counts read the same shuffle
+    lists = lists.select("key", "row", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(most.bitwiseAND(F.lit((1 << 32) - 1))).alias("sizes")).repartition("key")
+    several = lists.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
+    lists = materialize(lists.join(several.hint("merge"), "key", "left_semi"), "near-lists")
+    lists = lists.join(nodes, "row").select("key", "row", "root", F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("most"))
+    lists = materialize(lists, "near-list-roots")
+    several = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    lists = materialize(lists.join(several, "key", "left_semi"), "near-list-several")
+    # most of a long list is one component, and no pair inside it is wanted: its entries meet only the others
+    owner = lists.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("owner"))
+    lists = materialize(lists.join(owner, "key").withColumn("inside", F.col("root") == F.col("owner")).drop("owner"), "near-list-sides")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+    smaller = lists.where("most >= n").select("key", size_class(F.col("n")).alias("class"), F.when(F.col("inside"), 1).otherwise(2).alias("side"), F.col("row").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"))
+    low, high = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-6)), F.least("n", "most")
+    larger = lists.where(low <= high).select("key", F.explode(F.sequence(size_class(low), size_class(high))).alias("class"), "inside", F.col("row").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("most").alias("most_y"))
+    larger = larger.withColumn("side", F.explode(F.when(F.col("inside"), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2))))).drop("inside")
+    fits = F.expr("root_x != root_y AND n_x <= n_y AND n_y <= most_x AND n_x <= most_y")
+    met = smaller.join(larger, ["key", "class", "side"]).where(fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -324,6 +340,8 @@ def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: floa
     gives all other pairs that the bounds allow, each verified with whole sets.
     A row is known by id and digest of its text; ``first`` (id, text) is the
     least of the group.  Rows with a null id take no part.
+
+    Shingles are compared as 32-bit hashes.
     """
     spark, whole = docs.sparkSession, new_path(docs.sparkSession, "near-described")
     rows = described(docs.where(F.col("doc_id").isNotNull()), width).withColumn("row", F.monotonically_increasing_id())
@@ -332,22 +350,28 @@ def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: floa
     copies = materialize(table.groupBy("same").agg(F.min("row").alias("node")), "near-copies")
     own = materialize(table.select("row", "id", "text", "same").join(copies, "same").select("row", "id", "text", "node"), "near-own")
     heads = copies.select(F.col("node").alias("row"))
-    roots = _contracted(table, heads, threshold)
+    first = materialize(prefixes(table, threshold).join(heads, "row", "left_semi"), "near-prefixes")
+    roots = _contracted(first, table, threshold)
     nodes = heads.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("root"))
     nodes = materialize(nodes, "near-nodes")
-    pairs = materialize(_candidates(materialize(prefixes(table, threshold), "near-prefixes"), nodes, threshold), "near-pairs")
+    pairs = materialize(_candidates(first, nodes, threshold), "near-pairs")
     rest = materialize(_alike(pairs, table, threshold), "near-rest")
     delete_path(spark, whole)  # the largest of the tables; nothing reads it from here on
     roots = components.connected(nodes.select(F.col("root").alias("a"), F.col("row").alias("b")).unionAll(rest))
     named = own.join(roots, "node", "left").select("id", "text", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "near-named")
-    first = materialize(named.groupBy("root").agg(F.min(F.struct("id", "text")).alias("first")), "near-least")
-    return materialize(named.join(first, "root").select("id", "text", "first"), "near-found")
+    least = materialize(named.groupBy("root").agg(F.min(F.struct("id", "text")).alias("first")), "near-least")
+    return materialize(named.join(least, "root").select("id", "text", "first"), "near-found")
+
+
+#: Rows up to which the ids of compared sets are broadcast (8 bytes each); beyond, both sides are merged.
+BROADCAST_ROWS = 4_000_000
 
 
 def _alike(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have at least that Jaccard likeness."""
+    """The pairs (a, b) of rows whose shingle sets have at least that Jaccard likeness; pairs: a written table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    nodes = F.broadcast(nodes) if 2 * pairs.count() <= BROADCAST_ROWS else nodes.hint("merge")
     sets = materialize(table.select("row", "shingles").join(nodes, "row", "left_semi"), "near-sets")
     at = lambda c, name: sets.select(F.col("row").alias(c), F.col("shingles").alias(name))
     common = F.size(F.array_intersect("x", "y"))
