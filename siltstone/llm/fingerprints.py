@@ -7,12 +7,15 @@ distinct shingles.  Everything here is a built-in DataFrame expression.
 
 Defined results: a null text counts as empty and has the empty sketch; a text
 of fewer words than a shingle has one shingle, all its words; two empty
-sketches have resemblance 1, an empty and another 0; repeated rows are rows.
+sketches have resemblance 1, an empty and another 0; repeated rows are rows, a
+null id comes before all others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,33 +104,43 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + within)
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str], buckets: int | None = None) -> DataFrame:
-    """Each row with ``next``: a struct of the carried columns of the row that
-    follows in ascending id, after the last the first (one shuffle, no global sort).
+def with_next(docs: DataFrame, id_col: str, carried: list[str], derived: Mapping[str, Column], buckets: int | None = None) -> DataFrame:
+    """Each row with its derived columns and ``next``: a struct of the carried and derived columns of
+    the row that follows in ascending id, after the last the first (one shuffle, no global sort).
 
-    Rows go to ranges of ids, found by quantiles; the first row of each range
-    also goes to the end of the range before.  Null ids come first; rows of
-    equal id are ordered by the carried columns.
+    Rows go to ranges of ids, found by quantiles; the first row of each range also
+    goes to the end of the range before.  Derived columns are made behind the shuffle,
+    which moves the carried ones only.  Null ids come first.  Rows of one id follow one
+    another by a hash of their columns; an id that fills several ranges is cut by that
+    hash, so that no task holds all of its rows, but for rows equal in all columns.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
     n = buckets or min(32768, 4 * shuffle_partitions(spark))
-    ids = docs.select(key.alias("_k"))
-    cuts = ids.select(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = _bucket(F.col("_k"), cuts) if cuts else F.lit(0)
-    firsts = [(r["_b"], r["_first"]) for r in ids.groupBy(bucket.alias("_b")).agg(F.min("_k").alias("_first")).collect()]  # at most n rows
-    firsts.sort()
-    starts = long_array([f for _, f in firsts])
-    before = long_array([firsts[i - 1][0] for i in range(len(firsts))])
-    at = F.array_position(starts, F.col("_k"))
-    places = F.when(
-        at > 0, F.array(F.struct(F.col("_b"), F.lit(0).alias("_tail")), F.struct(F.get(before, (at - 1).cast("int")).cast("int").alias("_b"), F.lit(1).alias("_tail")))
-    ).otherwise(F.array(F.struct(F.col("_b"), F.lit(0).alias("_tail"))))
-    rows = docs.select(F.col(id_col), *carried, key.alias("_k")).withColumn("_b", bucket)
-    rows = rows.withColumn("_p", F.explode(places)).select(id_col, *carried, "_k", F.col("_p._b").alias("_b"), F.col("_p._tail").alias("_tail"))
-    order = Window.partitionBy("_b").orderBy("_tail", "_k", *carried)
-    return rows.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("_tail = 0").select(id_col, *carried, "next")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
+    bounds = sorted(docs.select(key.alias("_k")).select(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or [])
+    heavy = {k: c for k, c in sorted(Counter(bounds).items()) if c > 1}  # a key that is several bounds leaves ranges below its own empty
+    rows = docs.select(id_col, *carried, key.alias("_k"), F.lit(0).cast("long").alias("_s"))
+    rows = rows.withColumn("_b", (_bucket(F.col("_k"), bounds) if bounds else F.lit(0)).cast("int"))
+    if heavy:
+        parts = F.get(long_array(list(heavy.values())), (F.array_position(long_array(list(heavy)), F.col("_k")) - 1).cast("int"))
+        rows = rows.withColumn("_c", F.coalesce(parts, F.lit(1)))
+        rows = rows.withColumn("_s", F.when(F.col("_c") > 1, F.xxhash64(*carried)).otherwise(F.lit(0)))
+        share = F.floor((F.col("_s").cast("double") + 2.0**63) / 2.0**64 * F.col("_c"))
+        rows = rows.withColumn("_b", F.when(F.col("_c") > 1, F.col("_b") - F.col("_c") + 1 + F.least(share, F.col("_c") - 1)).otherwise(F.col("_b")).cast("int"))
+    firsts = {r["_b"]: r["first"] for r in rows.groupBy("_b").agg(F.min(F.struct("_k", "_s")).alias("first")).collect()}  # at most about 2 n rows
+    numbers = sorted(firsts)
+    last = numbers[-1] if numbers else 0
+    at = lambda values: F.get(long_array([values.get(i, 0) for i in range(last + 1)]), F.col("_b"))
+    is_first = (F.col("_k") == at({b: f["_k"] for b, f in firsts.items()})) & (F.col("_s") == at({b: f["_s"] for b, f in firsts.items()}))
+    before = at({b: numbers[i - 1] for i, b in enumerate(numbers)}).cast("int")
+    # of rows that are first alike, only one goes to the range before: the window takes the least
+    own = F.struct(F.col("_b"), F.lit(0).alias("_tail"))
+    places = F.when(is_first, F.array(own, F.struct(before.alias("_b"), F.lit(1).alias("_tail")))).otherwise(F.array(own))
+    rows = rows.withColumn("_p", F.explode(places)).select(id_col, *carried, "_k", "_s", F.col("_p._b").alias("_b"), F.col("_p._tail").alias("_tail"))
+    rows = rows.repartition("_b").select("*", *[c.alias(name) for name, c in derived.items()])
+    order = Window.partitionBy("_b").orderBy("_tail", "_k", "_s", *carried)
+    every = [*carried, *derived]
+    return rows.withColumn("next", F.lead(F.struct(*every)).over(order)).where("_tail = 0").select(id_col, *every, "next")
 
 
 def fingerprint_documents(docs: DataFrame, *, k: int = K, width: int = SHINGLE, buckets: int | None = None) -> DataFrame:
@@ -137,8 +150,7 @@ def fingerprint_documents(docs: DataFrame, *, k: int = K, width: int = SHINGLE,
     by as many leading code points of the next document's text.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_sketch", sketch(F.col("text"), k, width))
-    rows = with_next(rows, "doc_id", ["text", "_sketch"], buckets)
+    rows = with_next(rows, "doc_id", ["text"], {"_sketch": sketch(F.col("text"), k, width)}, buckets)
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next.text"), F.lit(1), part))
