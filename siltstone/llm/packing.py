@@ -250,7 +250,7 @@ def place(ranked: DataFrame, slots: dict[str, np.ndarray]) -> DataFrame:
 def rank_by_length(pieces: DataFrame, rows_per_range: int = 256) -> DataFrame:
     """Adds ``rank``, from 0 among pieces of equal length, by a distributed prefix sum."""
     ranges = spread(pieces.count(), rows_per_range, 65536)
-    pieces = pieces.withColumn("_r", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ranges)).cast("int"))
+    pieces = pieces.withColumn("_r", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)).cast("int"))
     totals = materialize(pieces.groupBy("length", "_r").agg(F.count("*").alias("_n")), "pack-ranges")
     earlier = Window.partitionBy("length").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("length", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
