@@ -176,6 +176,41 @@ def test_classifier_scores_equal_a_plain_fit(spark):
     assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])] == pytest.approx(want, abs=0.02)
 
 
+def test_terms_are_counted_over_all_labelled_rows(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)]
+    toxic = [i % 31 == 0 for i in range(9300)]
+    texts = [" ".join(rng.choices(vocabulary, k=3) + (["zorkyum"] if t and rng.random() < 0.5 or rng.random() < 0.01 else [])) for t in toxic]
+    labels = spark.createDataFrame([(i, float(t)) for i, t in enumerate(toxic)], "doc_id long, label double")
+    got = {(term, level): lift for term, level, lift in toxicity.induce_terms(docs_of(spark, texts), labels)}
+    counts = {True: Counter(), False: Counter()}
+    for text, t in zip(texts, toxic, strict=True):
+        counts[t].update(toxicity.document_terms(text))
+    lifts = {k: (n / 300) / ((counts[False][k] + 0.5) / 9000) for k, n in counts[True].items() if n >= 3}
+    want = {k: lift for k, lift in lifts.items() if lift >= 3}
+    assert ("=zorkyum", 1) in want and got == pytest.approx(want)
+
+
+def test_tasks_fit_what_the_driver_fits(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(100)]
+    toxic = [i % 5 == 0 for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=12) + (["zorky" + rng.choice(["um", "et"])] if t else []) + (["idiot"] if i % 10 == 0 else [])) for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of(spark, texts), labels, F.lit(True), driver_rows=n).collect()} for n in (10_000, 0)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+    assert np.mean([(scores[0][i] >= 0.5) == t for i, t in enumerate(toxic)]) > 0.97
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 1])
+def test_threshold_by_ranges(spark, share):
+    rng = np.random.default_rng(5)
+    odds = rng.integers(-20, 20, 500) / 4.0
+    toxic = rng.random(500) < share if share in (0, 1) else odds + rng.normal(0, 3, 500) > 2
+    table = spark.createDataFrame([(float(o), bool(t), 1) for o, t in zip(odds, toxic, strict=True)], "odds double, toxic boolean, n long")
+    assert toxicity.best_threshold_by_ranges(table) == toxicity.best_threshold(odds, toxic, np.ones(500))
+
+
 # 3 ------------------------------------------------------------------------
 
 
