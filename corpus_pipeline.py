@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each group of near duplicates."""
+    """Keeps the document of smallest id in each group of near duplicates: SimHash and Golay links, verified and completed exactly."""
     return simhash.keep_one(docs)
 
 

@@ -13,6 +13,10 @@ on 34 bits finds every link, which the full distance then verifies.
 Equal fingerprints are collapsed before, links stay a distributed table, and
 components come from alternating star contractions (:mod:`.components`).
 
+:func:`keep_one`, the pipeline's stage, takes these groups first, compares their
+members' shingle sets, and lets an exact join find the pairs of alike sets whose
+fingerprints differ in more bits.
+
 Defined results: null or empty text has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle; a null doc_id takes part
 but never names a component, unless all ids of the component are null.
@@ -179,7 +183,11 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links."""
-    printed = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
+    return linked(materialize(fingerprints(docs, id_col, text_col, width), "simhash"), radius)
+
+
+def linked(printed: DataFrame, radius: int = 2) -> DataFrame:
+    """(id, fp, component) of a written table (id, fp)."""
     distinct = materialize(printed.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = components.connected(links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -208,28 +216,28 @@ def min_hash_pairs(hashes: np.ndarray) -> list[int]:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text, same, keys, n, shingles): digests of the text and of the normalised text, min-hash
-    pairs, and the distinct 32-bit shingle hashes with their number."""
+    """(id, text, same, fp, keys, n, shingles): digests of the text and of the normalised text, its SimHash,
+    min-hash pairs, and the distinct 32-bit shingle hashes with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 same, keys, sets = [], [], []
-                for text in part.column(2).to_pylist():
-                    raw = (text or "").encode("utf-8", "surrogatepass")
+                texts = [(text or "").encode("utf-8", "surrogatepass") for text in part.column(2).to_pylist()]
+                for raw in texts:
                     same.append(hashlib.md5(b" ".join(raw.lower().split())).digest())
                     hashes = np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(raw, width)], dtype=np.uint32))
                     keys.append(min_hash_pairs(hashes))
                     sets.append(hashes.view(np.int32))
                 sizes = [len(x) for x in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + sizes).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
-                columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "same", "keys", "n", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(fingerprint_texts(texts).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "same", "fp", "keys", "n", "shingles"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, "id long, text binary, same binary, keys array<long>, n int, shingles array<int>")
+    return rows.mapInArrow(run, "id long, text binary, same binary, fp long, keys array<long>, n int, shingles array<int>")
 
 
 def text_digest(text: Column) -> Column:
@@ -243,7 +251,7 @@ def needed(size: int | np.ndarray, threshold: float) -> np.ndarray:
 
 
 def prefixes(table: DataFrame, threshold: float) -> DataFrame:
-    """(row, n, weight, keys, prefix): the first n - needed(n) + 1 shingles of each set in a global order.
+    """(row, n, weight, fp, keys, prefix): the first n - needed(n) + 1 shingles of each set in a global order.
 
     The order is by hash, with frequent shingles last, by their number in an
     eighth of the rows.  Any order finds the same pairs; this one keeps lists short.
@@ -274,23 +282,32 @@ def prefixes(table: DataFrame, threshold: float) -> DataFrame:
             inside = np.arange(len(place)) - starts[owner] < kept[owner]
             first = pa.array((place[inside] & 0xFFFFFFFF).astype(np.uint32).view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight, pa.float64()), batch.column(3), lists], names=["row", "n", "weight", "keys", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight, pa.float64()), batch.column(3), batch.column(4), lists], names=["row", "n", "weight", "fp", "keys", "prefix"])
 
     small_batches(table.sparkSession)
-    return table.select("row", "n", "shingles", "keys").mapInArrow(run, "row long, n int, weight double, keys array<long>, prefix array<int>")
+    return table.select("row", "n", "shingles", "fp", "keys").mapInArrow(run, "row long, n int, weight double, fp long, keys array<long>, prefix array<int>")
 
 
 def _contracted(first: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(node, root): components of verified links between each node and the weightiest nodes of its min-hash pairs.
+    """(node, root): components of verified links within the groups of SimHash and Golay keys, then of min-hashes.
 
+    Each node is compared with the weightiest of its group of fingerprints; then,
+    if that left them apart, with the weightiest of each of its min-hash pairs.
     It need not find all links: it makes large groups one component, so that
     their pairs need no comparison.  The weightiest of a group of copies has the
     fewest changes of its own, hence most of the others within the likeness.
     """
-    keyed = first.select("row", "weight", F.posexplode("keys").alias("at", "key"))
-    groups = keyed.groupBy("at", "key").agg(F.max_by("row", F.struct("weight", -F.col("row"))).alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = materialize(keyed.join(groups, ["at", "key"]).where("row != a").select("a", F.col("row").alias("b")).distinct(), "near-first")
-    return components.connected(_alike(pairs, table, threshold))
+    weightiest = F.max_by("row", F.struct("weight", -F.col("row")))
+    printed = linked(first.select(F.col("row").alias("id"), "fp")).select(F.col("id").alias("row"), "component")
+    printed = materialize(printed.join(first.select("row", "weight"), "row"), "near-printed")
+    groups = printed.groupBy("component").agg(weightiest.alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = materialize(printed.join(groups, "component").where("row != a").select("a", F.col("row").alias("b")), "near-golay")
+    joined = components.connected(_alike(pairs, table, threshold))
+    rooted = first.select("row", "weight", "keys").join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    keyed = materialize(rooted, "near-keyed").select("row", "weight", "root", F.posexplode("keys").alias("at", "key"))
+    groups = keyed.groupBy("at", "key").agg(weightiest.alias("a"), F.max_by("root", F.struct("weight", -F.col("row"))).alias("root_a"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
+    pairs = materialize(keyed.join(groups, ["at", "key"]).where("root != root_a").select("a", F.col("row").alias("b")).distinct(), "near-first")
+    return components.connected(joined.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(_alike(pairs, table, threshold)))
 
 
 STEP = 1.025  # ratio of neighbouring size classes
@@ -336,8 +353,8 @@ def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: floa
     Two documents are near duplicates if their sets of ``width``-word shingles
     have a Jaccard likeness of at least ``threshold``; groups are the components
     of these links.  Equal normalised texts are one node from the start.  Links
-    that min-hashes find join most of a group; an exact prefix-filter join then
-    gives all other pairs that the bounds allow, each verified with whole sets.
+    that SimHash with Golay keys and then min-hashes find join most of a group;
+    an exact prefix-filter join then gives all other pairs that the bounds allow, each verified with whole sets.
     A row is known by id and digest of its text; ``first`` (id, text) is the
     least of the group.  Rows with a null id take no part.
 

@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.llm import components, fingerprints, langid, license_scan, mixing, packing, quality, queries, simhash, toxicity, voronoi_knn, warc_zip
-from siltstone.llm.common import held_out
+from siltstone.llm.common import held_out, materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, size int"
 
@@ -831,6 +831,26 @@ def test_near_duplicates_of_any_edit_are_found(spark, kind):
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()} == brute_kept(texts)
 
 
+def test_near_duplicates_join_groups_of_golay_keys(spark):
+    """Without min-hashes, near copies that SimHash links are one component, and only if their sets are alike."""
+    rng = random.Random(19)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(500)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=300)
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base])]
+    line = ["one", "two", "three"] * 60
+    texts += [" ".join([*line, *rng.choices(vocabulary, k=12)]) for _ in range(3)]  # the same bits, other sets
+    docs = docs_of(spark, texts)
+    table = materialize(simhash.described(docs, 5).withColumn("row", F.col("id")), "test-described")
+    first = materialize(simhash.prefixes(table, 0.8).withColumn("keys", F.array().cast("array<long>")), "test-prefixes")
+    groups = {r["id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    assert len({groups[i] for i in range(36, 39)}) == 1
+    got = {r["node"]: r["root"] for r in simhash._contracted(first, table, 0.8).collect()}
+    want = {i: groups[i] for i in range(36) if groups[i] != i}
+    assert len(want) >= 20 and got == want
+
+
 def test_verified_near_duplicates_of_short_words(spark):
     """Short codes in which a longer word is swapped in."""
     rng = random.Random(13)
