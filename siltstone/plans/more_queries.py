@@ -157,5 +157,5 @@ def non_overlapping_tables(t: Tables) -> DataFrame:
     line = F.format_string("%d Part %d ea $1.00 %d $%s", "l_suppkey", "l_partkey", F.col("l_quantity").cast("long"), F.format_number("l_extendedprice", 2))
     docs = rendered(t.lineitem, "l_orderkey", ["Code Practice Units Cost Estimated Units Total"], line, [F.concat(F.lit("Total "), usd(F.sum("l_extendedprice")))])
     patterns = [p for p in ce.PATTERNS if p.id in ("booths_creek_bmps", "adaptive_generic_costs", "narrative_cost_block")]
-    kept = ce.non_overlapping(ce.cost_tables(ce.document_lines(docs), patterns, keep_covered=True))
+    kept = ce.cost_tables(ce.document_lines(docs), patterns, keep_covered=True, apart=True)
     return kept.select("doc_id", "pattern_id", F.col("total_computed").alias("total"))

@@ -85,3 +85,19 @@ def test_sparse_costs_end_at_two_blank_lines(spark):
     lines = [*paid[:3], "", *paid[3:6], "", "", *paid[6:]]
     found = ce.tables_of(spark.createDataFrame([("d", lines)], "doc_id string, lines array<string>"), next(p for p in ce.PATTERNS if p.id == "sparse_inline_costs")).orderBy("span_start").first()
     assert len(found["rows"]) == 6 and found["total_computed"] == 2100
+
+
+def test_each_line_is_parsed_once(spark, sf_dir):
+    """A row's regular expression stands once in a plan, not once per field and use."""
+    from siltstone.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    for name, test in (("booths_roundtrip", "(ac|ft|ea|each|cuyd|sqft|gal|no)"), ("known_practice_roundtrip", "Critical Area Planting"), ("full_project_roundtrip", "N/A|@"), ("generic_activity_roundtrip", "ponds?)|[0-9][0-9,]*"), ("loose_cluster_roundtrip", "^total")):
+        assert plan(name).count(test) == 1, name
+
+
+def test_a_document_is_looked_at_in_its_row(spark):
+    """All patterns, covered tables and overlaps: one scan and no shuffle."""
+    docs = spark.createDataFrame([("d", TEXTS["booths_creek_bmps"][0])], "doc_id string, text string")
+    plan = ce.cost_tables(ce.document_lines(docs), apart=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1
