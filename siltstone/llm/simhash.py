@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import components
-from siltstone.llm.common import delete_path, materialize, new_path, scratch, small_batches
+from siltstone.llm.common import brief_shuffles, delete_path, discard, materialize, new_path, scratch, small_batches
 
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -303,10 +303,13 @@ def _contracted(first: DataFrame, table: DataFrame, threshold: float) -> DataFra
     groups = printed.groupBy("component").agg(weightiest.alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = materialize(printed.join(groups, "component").where("row != a").select("a", F.col("row").alias("b")), "near-golay")
     joined = components.connected(_alike(pairs, table, threshold))
+    discard(printed, pairs)
     rooted = first.select("row", "weight", "keys").join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    keyed = materialize(rooted, "near-keyed").select("row", "weight", "root", F.posexplode("keys").alias("at", "key"))
+    rooted = materialize(rooted, "near-keyed")
+    keyed = rooted.select("row", "weight", "root", F.posexplode("keys").alias("at", "key"))
     groups = keyed.groupBy("at", "key").agg(weightiest.alias("a"), F.max_by("root", F.struct("weight", -F.col("row"))).alias("root_a"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
     pairs = materialize(keyed.join(groups, ["at", "key"]).where("root != root_a").select("a", F.col("row").alias("b")).distinct(), "near-first")
+    discard(rooted)
     return components.connected(joined.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(_alike(pairs, table, threshold)))
 
 
@@ -316,7 +319,7 @@ STEP = 1.025  # ratio of neighbouring size classes
 def _candidates(first: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of nodes in different components that can have the likeness, by exact bounds only.
 
-    first: the nodes' rows of :func:`prefixes`; nodes: (row, root).  Take the first
+    first: the nodes' rows of :func:`prefixes`, discarded once read; nodes: (row, root).  Take the first
     element in the global order that two alike sets of x and y elements share, at
     places i and j.  All that they share lies from there on, so x - i and y - j
     are at least what they must share, t / (1 + t) (x + y): each entry of a list
@@ -329,14 +332,19 @@ def _candidates(first: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     # three narrow columns move, once: the lists and their counts read the same shuffle
     lists = lists.select("key", "row", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(most.bitwiseAND(F.lit((1 << 32) - 1))).alias("sizes")).repartition("key")
     several = lists.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
-    lists = materialize(lists.join(several.hint("merge"), "key", "left_semi"), "near-lists")
-    lists = lists.join(nodes, "row").select("key", "row", "root", F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("most"))
-    lists = materialize(lists, "near-list-roots")
-    several = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    lists = materialize(lists.join(several, "key", "left_semi"), "near-list-several")
+    narrow = materialize(lists.join(several.hint("merge"), "key", "left_semi"), "near-lists")
+    discard(first)
+    lists = narrow.join(nodes, "row").select("key", "row", "root", F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("most"))
+    rooted = materialize(lists, "near-list-roots")
+    discard(narrow)
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    lists = materialize(rooted.join(several, "key", "left_semi"), "near-list-several")
+    discard(rooted)
     # most of a long list is one component, and no pair inside it is wanted: its entries meet only the others
     owner = lists.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("owner"))
-    lists = materialize(lists.join(owner, "key").withColumn("inside", F.col("root") == F.col("owner")).drop("owner"), "near-list-sides")
+    sides = materialize(lists.join(owner, "key").withColumn("inside", F.col("root") == F.col("owner")).drop("owner"), "near-list-sides")
+    discard(lists)
+    lists = sides
     size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
     smaller = lists.where("most >= n").select("key", size_class(F.col("n")).alias("class"), F.when(F.col("inside"), 1).otherwise(2).alias("side"), F.col("row").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"))
     low, high = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-6)), F.least("n", "most")
@@ -372,7 +380,7 @@ def verified_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: floa
     nodes = heads.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("root"))
     nodes = materialize(nodes, "near-nodes")
     pairs = materialize(_candidates(first, nodes, threshold), "near-pairs")
-    rest = materialize(_alike(pairs, table, threshold), "near-rest")
+    rest = _alike(pairs, table, threshold)
     delete_path(spark, whole)  # the largest of the tables; nothing reads it from here on
     roots = components.connected(nodes.select(F.col("root").alias("a"), F.col("row").alias("b")).unionAll(rest))
     named = own.join(roots, "node", "left").select("id", "text", F.coalesce("root", "node").alias("root"))
@@ -393,7 +401,9 @@ def _alike(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     at = lambda c, name: sets.select(F.col("row").alias(c), F.col("shingles").alias(name))
     common = F.size(F.array_intersect("x", "y"))
     counted = pairs.join(at("b", "y"), "b").join(at("a", "x"), "a").select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u"))
-    return counted.where(F.col("c") >= threshold * F.col("u") - 1e-9).select("a", "b")
+    found = materialize(counted.where(F.col("c") >= threshold * F.col("u") - 1e-9).select("a", "b"), "near-alike")
+    discard(sets)
+    return found
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -404,7 +414,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     gone = new_path(spark, "near-removed")
-    with scratch():
+    with scratch(), brief_shuffles(spark):
         found = verified_near_duplicates(docs, **options)
         found.where((F.col("first.id") != F.col("id")) | (F.col("first.text") != F.col("text"))).select("id", "text").distinct().write.parquet(gone)
         repeated = found.groupBy("id", "text").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

@@ -33,3 +33,14 @@ def test_against_sql(spark, sf_dir, name):
     assert sorted(names) == sorted(got.columns)
     tidy = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
     assert tidy(got.select(*names).collect()) == tidy(cursor.fetchall())
+
+
+def test_near_duplicates_leave_no_files_behind_their_use(spark, sf_dir, monkeypatch):
+    """Tables of the near-duplicate stage go once they are read, and shuffle files with their query."""
+    from siltstone.llm import common, simhash
+
+    gone, modes = [], []
+    monkeypatch.setattr(simhash, "discard", lambda *tables: (gone.extend(tables), modes.append(spark.conf.get(common.CLEANUP, None)), common.discard(*tables)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert 0 < simhash.keep_one(docs).count() < docs.count()
+    assert len(gone) >= 8 and set(modes) == {"true"} and spark.conf.get(common.CLEANUP, None) != "true"
