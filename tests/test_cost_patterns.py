@@ -88,12 +88,12 @@ def test_sparse_costs_end_at_two_blank_lines(spark):
 
 
 def test_each_line_is_parsed_once(spark, sf_dir):
-    """A row's regular expression stands once in a plan, not once per field and use."""
+    """A row's regular expression stands in a plan once for the window's lines and twice for those behind it, not once per field and use."""
     from siltstone.plans.catalogue import QUERIES
 
     plan = lambda name: QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     for name, test in (("booths_roundtrip", "(ac|ft|ea|each|cuyd|sqft|gal|no)"), ("known_practice_roundtrip", "Critical Area Planting"), ("full_project_roundtrip", "N/A|@"), ("generic_activity_roundtrip", "ponds?)|[0-9][0-9,]*"), ("loose_cluster_roundtrip", "^total")):
-        assert plan(name).count(test) == 1, name
+        assert 1 <= plan(name).count(test) <= 3, name
 
 
 def test_a_document_is_looked_at_in_its_row(spark):
@@ -101,3 +101,23 @@ def test_a_document_is_looked_at_in_its_row(spark):
     docs = spark.createDataFrame([("d", TEXTS["booths_creek_bmps"][0])], "doc_id string, text string")
     plan = ce.cost_tables(ce.document_lines(docs), apart=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan") == 1
+
+
+def test_tables_go_on_as_long_as_their_rows(spark, tmp_path):
+    """Orders of more lines than a window has: each is summed whole, and its total found."""
+    from siltstone.plans.catalogue import QUERIES
+
+    sizes = {1: 17, 2: 18, 3: 19, 4: 75}
+    rows = [(k, i + 1, 5, i % 7 + 1, 12.0, 100.0 + i) for k, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {k: (n, sum(100.0 + i for i in range(n))) for k, n in sizes.items()}
+    for name in ("tech_format_roundtrip", "bell_format_roundtrip", "phase1_roundtrip"):
+        got = {r["doc_id"]: r for r in QUERIES[name].run(spark, str(tmp_path)).collect()}
+        assert {k: (r["n_rows"], r["total_computed"]) for k, r in got.items()} == want, name
+        assert all(r["total_reported"] == want[k][1] and r["discrepancy"] == 0 for k, r in got.items()), name
+
+
+def test_a_window_ends_where_rows_do(spark):
+    lines = ["Item Cost", *[f"Work {i} ${i}00" for i in range(1, 10)], *["Prose."] * 20, "Later $5", "Total $9"]
+    found = ce.tables_of(spark.createDataFrame([("d", lines)], "doc_id string, lines array<string>"), next(p for p in ce.PATTERNS if p.id == "tech_assistance")).first()
+    assert len(found["rows"]) == 9 and found["total_reported"] is None
